@@ -21,8 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pick, slices
+from .hashing import IntTable
 
 MARK = "▁"
+NONE = np.iinfo(np.int32).max
 #: Entries that a worker's memo of words holds before it starts afresh.
 MEMO_WORDS = 150_000
 #: Characters of distinct words that are encoded in one call.
@@ -67,7 +69,8 @@ class PieceModel:
         self.width = self.unknown + 1
         pairs = [(number[p[:k]] * self.width + number[p[k:]], rank[p], number[p]) for p in pieces for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
         keys = np.array([k for k, _, _ in pairs], np.int64)
-        self._fill(keys, np.array([r for _, r, _ in pairs], np.int32))
+        self.pairs = IntTable(keys)
+        self.rank = np.array([r for _, r, _ in pairs] + [NONE], np.int32)  # the last is for -1, not found
         self.made = np.array([number[p] for p in sorted(rank, key=rank.get)], np.int32)
         inner: set[str] = set()
         for q in pieces:
@@ -79,42 +82,9 @@ class PieceModel:
         for b in range(256):
             self.text[self.bytes_from + b] = bytes([b])
 
-    def _fill(self, keys: np.ndarray, ranks: np.ndarray) -> None:
-        """An open-addressed table of pair keys; most lookups end at the first slot."""
-        self.mask = (1 << int(np.ceil(np.log2(len(keys) * 4)))) - 1
-        self.slot_key, self.slot_rank = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NONE, np.int32)
-        at = self._hash(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            free = self.slot_key[at[left]] == -1
-            first = left[free][np.unique(at[left[free]], return_index=True)[1]]
-            self.slot_key[at[first]], self.slot_rank[at[first]] = keys[first], ranks[first]
-            left = left[self.slot_key[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & self.mask
-
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(40)).astype(np.int64) & self.mask
-
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols; NONE where no piece is made of them."""
-        keys = left.astype(np.int64) * self.width + right
-        at = self._hash(keys)
-        out = np.full(len(keys), NONE, np.int32)
-        found = self.slot_key[at]
-        hit = found == keys
-        out[hit] = self.slot_rank[at[hit]]
-        left = np.flatnonzero(~hit & (found != -1))
-        while len(left):
-            at[left] = (at[left] + 1) & self.mask
-            found = self.slot_key[at[left]]
-            hit = found == keys[left]
-            out[left[hit]] = self.slot_rank[at[left[hit]]]
-            left = left[~hit & (found != -1)]
-        return out
-
-
-NONE = np.iinfo(np.int32).max
+        return self.rank[self.pairs.find(left.astype(np.int64) * self.width + right)]
 
 
 def merge_rounds(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
