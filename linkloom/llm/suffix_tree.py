@@ -31,8 +31,8 @@ from .common import LOWER, bucket_of_id, pick, slices, stash
 from .hashing import IntTable
 
 DEPTH = 5
-P_MIN = 1e-5
-P_JOINT = 1e-6
+P_MIN = 1e-6
+P_JOINT = 1e-7
 P_WORD = 1e-6
 #: Nats that a state must gain for each of its next symbols.
 GAIN = 2.0
