@@ -77,17 +77,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     idents = name_texts(texts, block).select(F.col("doc_id").alias("i_doc"), F.col("sha").alias("i_sha"), "level", "name")
     marked = rows.join(idents, F.col("doc_id").eqNullSafe(F.col("i_doc")) & (F.col("sha") == F.col("i_sha")), "left")
     marked = stash(marked.select("doc_id", "sha", "row", "level", "name"), "marked")
+    copies, alone = marked.filter("name IS NOT NULL"), marked.filter("name IS NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-    groups = marked.filter("name IS NOT NULL").groupBy("level", "name").agg(first, F.count("*").alias("n"))
-    out = marked.join(groups, ["level", "name"], "left")
-    alone = F.col("first").isNull()
-    return out.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+    groups = copies.groupBy("level", "name").agg(first, F.count("*").alias("n"))
+    copies = copies.join(groups, ["level", "name"]).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first.row") == F.col("row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    return copies.unionByName(alone)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
