@@ -1,8 +1,61 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.llm import exact_dedup, language, mixing, pieces, simhash
+from linkloom.llm.common import stash
+from linkloom.llm.queries import model_path
+
+#: Share of a document's language below which no language is accepted.
+LEAST_SHARE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject texts that are null, have no letter or fit no language; a missing language is filled in."""
+    names = docs.columns
+    out = language.label(docs, language.fit(docs))
+    out = out.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SHARE))
+    return out.withColumn("lang", F.coalesce("lang", "_lang")).select(*names)
+
+
+def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the document with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix of sources takes them; one taken twice comes twice."""
+    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of what is left, as counts and digests, with the digest of the decoded text."""
+    return pieces.token_digests(docs, model_path())
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact_dedup", remove_exact_copies),
+    ("near_dedup", remove_near_copies),
+    ("mixing", mix),
+    ("sentencepiece", tokenize),
+]
+
+#: SQL has no gated recurrent network, knapsack or byte-pair merges; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; every one but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
