@@ -39,8 +39,8 @@ GAIN = 2.0
 END = b"\n"
 HELD_OUT = 10
 
-_SLICE = 1 << 21
-_HELD = 1 << 20  # distinct windows and words that a task holds before it passes them on
+_SLICE = 1 << 20
+_HELD = 400_000  # distinct windows and words that a task holds before it passes them on
 
 
 def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
