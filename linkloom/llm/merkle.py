@@ -93,9 +93,8 @@ def _next_ids(docs: DataFrame) -> DataFrame:
     ids = stash(ids.repartitionByRange(F.col("doc_id").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "ids")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
     ends = ids.groupBy("range").agg(F.max(order).alias("last"))
-    top = ends.agg(F.max("last").alias("top"))
-    before = F.lag("last").over(Window.orderBy("range"))
-    ends = ends.withColumn("before", before).crossJoin(top).select("range", F.coalesce("before", "top").alias("before"))
+    before = F.coalesce(F.lag("last").over(Window.orderBy("range")), F.max("last").over(Window.partitionBy()))
+    ends = ends.select("range", before.alias("before"))
     own = F.lag(order).over(Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_last()))
     found = ids.withColumn("own", own).join(ends, "range")
     prev = F.coalesce("own", "before")

@@ -175,8 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(fps.select("fp")))
     rooted = stash(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "root"), "rooted")
-    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))
-    found = rooted.join(least, "root", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
+    linked, alone = rooted.filter("root IS NOT NULL"), rooted.filter("root IS NULL")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = linked.join(least, "root").select("fp", "component_id").unionByName(alone.select("fp", F.col("least").alias("component_id")))
     return rows.join(stash(found, "found"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
