@@ -110,15 +110,17 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     larger id with the smallest text.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # a null id gets a key of its own, so that plain equality joins suit
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text", "doc_id")
-    after = _next_ids(docs).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("prev_id", "doc_id")), "half")
-    after = after.withColumnRenamed("doc_id", "key")
+    # the id as a text that is never null: both joins read one exchange of (key, text)
+    key_of = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    kind = dict(docs.dtypes)["doc_id"]
+    after = _next_ids(docs).select(key_of("prev_id").alias("prev_key"), key_of("doc_id").alias("key"), "half")
+    docs = docs.select(key_of("doc_id").alias("key"), "text")
     heads = docs
     if docs.groupBy("key").count().filter("count > 1").limit(1).count():
         heads = docs.groupBy("key").agg(F.min("text").alias("text"))
-    heads = heads.join(after, "key").select(F.col("prev_id").alias("key"), F.expr("substring(text, 1, half)").alias("head"), codes(F.col("text")).alias("next_codes"))
+    heads = heads.join(after, "key").select(F.col("prev_key").alias("key"), F.expr("substring(text, 1, half)").alias("head"), codes(F.col("text")).alias("next_codes"))
     both = docs.join(heads, "key")
+    both = both.withColumn("doc_id", F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)).cast(kind))
     n = F.char_length("text")
     both = both.select("doc_id", "text", n.alias("n_chars"), F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 2), substring(head, 1, int(char_length(text) div 2)))").alias("edited"), "next_codes")
     both = both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), root(F.col("text")).alias("root"), codes(F.col("text")).alias("codes"), root(F.col("edited")).alias("edited_root"), codes(F.col("edited")).alias("edited_codes"), "next_codes")
