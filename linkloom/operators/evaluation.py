@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,14 +16,16 @@ def quality(results: DataFrame, truth: DataFrame) -> DataFrame:
     """
     auto = results.filter("match_status = 'AUTO_MATCHED'").select("source_id", "dest_id")
     true = truth.select("source_id", "dest_id").distinct()
-    tp = auto.join(true, ["source_id", "dest_id"], "left_semi").agg(F.count("*").alias("tp"))
-    found, wanted = auto.agg(F.count("*").alias("found")), true.agg(F.count("*").alias("wanted"))
-    firsts = results.filter("rank = 1").select("source_id", "dest_id").join(true, ["source_id", "dest_id"], "left_semi").agg(F.count("*").alias("first_hits"))
-    rows = results.agg(F.count("*").alias("rows"), F.count_distinct("source_id").alias("sources"))
-    per = lambda side: auto.groupBy(side).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias(f"most_per_{side}"))
-    one = tp
-    for part in (found, wanted, firsts, rows, per("source_id"), per("dest_id")):  # one row each
-        one = one.join(part, F.lit(True))
+    right = lambda pairs: pairs.join(true, ["source_id", "dest_id"], "left_semi")
+    firsts = results.filter("rank = 1").select("source_id", "dest_id")
+    per = lambda side: auto.groupBy(side).agg(F.count("*").alias("n"))
+    counted = {
+        "tp": (right(auto), F.count("*")), "found": (auto, F.count("*")), "wanted": (true, F.count("*")), "first_hits": (right(firsts), F.count("*")),
+        "rows": (results, F.count("*")), "sources": (results, F.count_distinct("source_id")),
+        "most_per_source_id": (per("source_id"), F.coalesce(F.max("n"), F.lit(0))), "most_per_dest_id": (per("dest_id"), F.coalesce(F.max("n"), F.lit(0))),
+    }
+    rows = [df.agg(of.alias("value")).select(F.lit(name).alias("name"), "value") for name, (df, of) in counted.items()]
+    one = reduce(DataFrame.unionByName, rows).agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in counted))
     p, r = F.try_divide("tp", "found"), F.try_divide("tp", "wanted")
     return one.select(p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"), F.try_divide("first_hits", "wanted").alias("top1"), F.try_divide("rows", "sources").alias("rows_per_source"), "most_per_source_id", "most_per_dest_id")
 

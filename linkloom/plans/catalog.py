@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import ColumnMapping, MatchConfig, SecondaryField
 from ..functions import columns as C
-from ..operators import blocking, calibration, corpus, decision, records, results, review, scoring
-from . import engine
+from ..functions import udfs
+from ..operators import blocking, calibration, corpus, decision, evaluation, records, results, review, scoring
+from . import engine, labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -488,4 +489,39 @@ def match_conversations(spark, sf_dir):
     return run.results.select("source_id", "dest_id", "confidence_score", "rank", "match_status")
 
 
+@query()
+def match_labelled(spark, sf_dir):
+    """A whole run over the labelled corpus, with as many pairs as there are parts."""
+    left, right, _ = labelled.inputs(spark, table(spark, sf_dir, "part").count())
+    return engine.match(left, right).results.select("source_id", "dest_id", "confidence_score", "cross_script", "rank", "match_status", "decision_note")
+
+
+@query()
+def quality_labelled(spark, sf_dir):
+    """Precision, recall, F1 and top-1 accuracy of that run."""
+    left, right, truth = labelled.inputs(spark, table(spark, sf_dir, "part").count())
+    return evaluation.quality(engine.match(left, right).results, truth)
+
+
+@query()
+def candidate_profile(spark, sf_dir):
+    """Median, 95th percentile and maximum of the candidates per source."""
+    s, d = part_names(spark, sf_dir)
+    return evaluation.candidate_profile(blocking.candidates(s, d, d.count()))
+
+
+@query()
+def jaro_winkler(spark, sf_dir):
+    """Jaro-Winkler similarity of the text pairs."""
+    return text_pairs(spark, sf_dir).withColumn("similarity", udfs.jaro_winkler(F.col("a"), F.col("b")))
+
+
+@query()
+def romanized_names(spark, sf_dir):
+    """Thai names of the labelled corpus with their spoken forms and parties."""
+    left, _, _ = labelled.inputs(spark, table(spark, sf_dir, "part").count())
+    name = F.col("customer_name")
+    return left.select("ordinal", "customer_name", udfs.romanize(name).alias("romanized"), udfs.skeleton(udfs.romanize(name)).alias("skeleton"), udfs.phonetic_form(name).alias("phonetic_form"), udfs.split_parties(name).alias("parties"))
+
+
 flagship = match_parts
