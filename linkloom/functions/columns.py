@@ -109,14 +109,15 @@ def parse_date(c: Column, calendar: str = "AUTO", leap_fix: bool = True) -> Colu
     def era(year: Column) -> Column:
         return year if calendar == "CE" else F.when(year >= 2400, year - 543).otherwise(year)
 
-    def built(year: Column, month: Column, day: Column) -> Column:
+    def valid(c: Column) -> Column:
+        """Whether the day exists in the year that is meant (as written, without the fix)."""
+        year, month, day = c["y"], c["m"], c["d"]
         fits = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
-        # the day must exist in the year that is meant (as written, without the fix)
-        exists = lambda y: day <= F.dayofmonth(F.last_day(F.make_date(y, month, F.lit(1))))
-        meant = era(year)
-        checked = exists(meant) if leap_fix else exists(year)
-        made = F.date_add(F.make_date(meant, month, F.lit(1)), day - 1)
-        return F.when(fits, F.when(checked, made))
+        length = F.dayofmonth(F.last_day(F.make_date(era(year) if leap_fix else year, F.when(fits, month), F.lit(1))))
+        return F.coalesce(fits & (day <= length), F.lit(False))
+
+    def built(year: Column, month: Column, day: Column) -> Column:
+        return F.struct(year.cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
 
     def part(pattern: str, i: int, of: Column = text) -> Column:
         found = F.regexp_extract(of, pattern, i)
@@ -138,7 +139,9 @@ def parse_date(c: Column, calendar: str = "AUTO", leap_fix: bool = True) -> Colu
         year = F.when(F.char_length(raw) <= 2, two).otherwise(part(p, 3, bare))
         x, y = part(p, 1, bare), part(p, 2, bare)
         layouts += [built(year, y, x), built(year, x, y)]
-    return F.coalesce(*layouts)
+    # the first reading that is a date; one array, so that the generated code stays small
+    read = F.get(F.filter(F.array(*layouts), valid), F.lit(0))
+    return F.date_add(F.make_date(era(read["y"]), read["m"], F.lit(1)), read["d"] - 1)
 
 
 def equal_fold(a: Column, b: Column) -> Column:

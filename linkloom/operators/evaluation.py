@@ -14,6 +14,7 @@ def quality(results: DataFrame, truth: DataFrame) -> DataFrame:
 
     truth: source_id, dest_id of true pairs. Sources of truth that have no result count as missed.
     """
+    results = results.select("source_id", "dest_id", "match_status", "rank").persist()  # five counts read it
     auto = results.filter("match_status = 'AUTO_MATCHED'").select("source_id", "dest_id")
     true = truth.select("source_id", "dest_id").distinct()
     right = lambda pairs: pairs.join(true, ["source_id", "dest_id"], "left_semi")

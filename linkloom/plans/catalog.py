@@ -349,7 +349,7 @@ def export_rows(spark, sf_dir):
     return results.export_rows(rows).select("source_id", "reference_id", "source_name", "dest_id", "customer_id", "dest_name", "confidence_score", "match_status", "decision_note")
 
 
-@query(f"WITH {STORED}, b AS (SELECT *, 'batch-' || (CAST(substr(source_id, 5) AS BIGINT) % 7) AS batch_id FROM st) SELECT batch_id, count(*) AS results, count(DISTINCT source_id) AS sources, count(*) FILTER (match_status = 'AUTO_MATCHED') AS auto_matched, count(*) FILTER (match_status = 'REVIEW_NEEDED') AS review_needed, count(*) FILTER (match_status = 'NO_MATCH') AS no_match FROM b GROUP BY batch_id")
+@query(f"WITH {STORED}, bb AS (SELECT *, 'batch-' || (CAST(substr(source_id, 5) AS BIGINT) % 7) AS batch_id FROM st) SELECT batch_id, count(*) AS results, count(DISTINCT source_id) AS sources, count(*) FILTER (match_status = 'AUTO_MATCHED') AS auto_matched, count(*) FILTER (match_status = 'REVIEW_NEEDED') AS review_needed, count(*) FILTER (match_status = 'NO_MATCH') AS no_match FROM bb GROUP BY batch_id")
 def batch_summaries(spark, sf_dir):
     """Counters per batch."""
     batch = F.concat(F.lit("batch-"), (F.substring("source_id", 5, 20).cast("long") % 7).cast("string"))

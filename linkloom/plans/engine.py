@@ -16,11 +16,12 @@ from ..operators import blocking, corpus, decision, records, results, scoring
 
 @dataclass(frozen=True)
 class MatchRun:
-    """What a run gives; the DataFrames are lazy over the persisted, normalised inputs."""
+    """What a run gives. Normalised inputs, candidates and judged pairs are persisted, as each is used more than once."""
 
     sources: DataFrame
     destinations: DataFrame
     candidates: DataFrame
+    judged: DataFrame
     results: DataFrame
 
     def summary(self) -> DataFrame:
@@ -30,7 +31,7 @@ class MatchRun:
         return results.hydrate(self.results, self.sources, self.destinations)
 
     def release(self) -> None:
-        for df in (self.sources, self.destinations):
+        for df in (self.sources, self.destinations, self.candidates, self.judged):
             df.unpersist()
 
 
@@ -76,14 +77,15 @@ def match_records(sources: DataFrame, destinations: DataFrame, config: MatchConf
     else:
         sources_used, destinations_used = sources, destinations
     found = blocking.candidates(sources_used, destinations_used, n_dst, config) if n_dst else sources_used.select(F.col("id").alias("source_id"), F.col("id").alias("dest_id"), F.col("ordinal").alias("dest_ordinal"), F.lit(0).cast("long").alias("hits"), F.lit(1).alias("place"))
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     scored = score_candidates(found, sources_used, destinations_used, n_src + n_dst, config)
-    kept = decision.decided(decision.ranked(scored, config), config, calibrate)
+    kept = decision.decided(decision.ranked(scored, config), config, calibrate).persist(StorageLevel.MEMORY_AND_DISK)
     out = decision.assigned(kept, config)
     if config.emit_unmatched and config.assignment_strategy != "TOP_1":
         out = out.unionByName(decision.unmatched(sources_used, found, kept), allowMissingColumns=True).withColumn("rank", F.coalesce("rank", F.lit(0)))
     ident = F.concat_ws("-", F.lit(batch_id), "source_id", F.coalesce("dest_id", F.lit("NO_MATCH")))
     out = out.withColumns({"id": ident, "batch_id": F.lit(batch_id), "created_at": F.current_timestamp()}).withColumnRenamed("total_score", "confidence_score")
-    return MatchRun(sources, destinations, found, out)
+    return MatchRun(sources, destinations, found, kept, out)
 
 
 def match(source_rows: DataFrame, dest_rows: DataFrame, config: MatchConfig = MatchConfig(), batch_id: str = "batch", calibrate=None, aliases: dict[str, str] = ALIASES) -> MatchRun:
