@@ -72,17 +72,17 @@ def match_records(sources: DataFrame, destinations: DataFrame, config: MatchConf
     """Match built records. An empty side gives no rows at all, not even unmatched ones."""
     sources, destinations = normalized(sources, aliases), normalized(destinations, aliases)
     n_src, n_dst = sources.count(), destinations.count()
-    if not n_src or not n_dst:
-        sources_used, destinations_used = sources.limit(0), destinations.limit(0)
+    if n_src and n_dst:
+        found = blocking.candidates(sources, destinations, n_dst, config)
     else:
-        sources_used, destinations_used = sources, destinations
-    found = blocking.candidates(sources_used, destinations_used, n_dst, config) if n_dst else sources_used.select(F.col("id").alias("source_id"), F.col("id").alias("dest_id"), F.col("ordinal").alias("dest_ordinal"), F.lit(0).cast("long").alias("hits"), F.lit(1).alias("place"))
+        found = sources.sparkSession.createDataFrame([], "source_id string, dest_id string, dest_ordinal long, hits long, place int")
+    asked = sources if n_dst else sources.limit(0)
     found = found.persist(StorageLevel.MEMORY_AND_DISK)
-    scored = score_candidates(found, sources_used, destinations_used, n_src + n_dst, config)
+    scored = score_candidates(found, sources, destinations, n_src + n_dst, config)
     kept = decision.decided(decision.ranked(scored, config), config, calibrate).persist(StorageLevel.MEMORY_AND_DISK)
     out = decision.assigned(kept, config)
     if config.emit_unmatched and config.assignment_strategy != "TOP_1":
-        out = out.unionByName(decision.unmatched(sources_used, found, kept), allowMissingColumns=True).withColumn("rank", F.coalesce("rank", F.lit(0)))
+        out = out.unionByName(decision.unmatched(asked, found, kept), allowMissingColumns=True).withColumn("rank", F.coalesce("rank", F.lit(0)))
     ident = F.concat_ws("-", F.lit(batch_id), "source_id", F.coalesce("dest_id", F.lit("NO_MATCH")))
     out = out.withColumns({"id": ident, "batch_id": F.lit(batch_id), "created_at": F.current_timestamp()}).withColumnRenamed("total_score", "confidence_score")
     return MatchRun(sources, destinations, found, kept, out)
