@@ -22,9 +22,19 @@ def pick(df: DataFrame, **want: str) -> DataFrame:
     Columns are addressed by position, so extra columns that differ by case, that repeat a name or that
     clash with an operator's own column names are harmless.
     """
+    flat = positions(df)
+    return flat.select(*(F.col(f"_{place(df, old)}").alias(new) for new, old in want.items()))
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named _0, _1 and so on."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Position of a column by exact name, or else by its name in any case."""
     names = df.columns
-    flat = df.toDF(*(f"_{i}" for i in range(len(names))))
-    return flat.select(*(F.col(f"_{names.index(old)}").alias(new) for new, old in want.items()))
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, pick, stash
+from .common import SPACES, pick, place, positions, stash
 
 BLOCK_BYTES = 16384
 
@@ -94,13 +94,17 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one stays.
     """
     verdict = exact_duplicates(docs, id_col, text_col)
-    gone = verdict.filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("keep_id").alias("_for"), "text_sha256")
-    gone = stash(gone, "gone")
-    text = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "), 256)
-    twins = gone.filter(F.col("_gone").eqNullSafe(F.col("_for"))).select(F.col("_gone").alias("_twin"), F.col("text_sha256").alias("_twin_sha")).distinct()
-    others = stash(gone.filter(~F.col("_gone").eqNullSafe(F.col("_for"))).select("_gone").distinct(), "others")
-    kept = docs.join(others, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = stash(verdict.filter("NOT kept").select(F.col("doc_id").alias("gone"), F.col("keep_id").alias("stays"), "text_sha256"), "gone")
+    same_id = F.col("gone").eqNullSafe(F.col("stays"))
+    others = stash(gone.filter(~same_id).select("gone").distinct(), "others")
+    twins = stash(gone.filter(same_id).select("gone", "text_sha256").distinct(), "twins")
+    rows, names = positions(docs), docs.columns
+    key, text = f"_{place(docs, id_col)}", f"_{place(docs, text_col)}"
+    kept = rows.join(others, F.col(key).eqNullSafe(F.col("gone")), "left_anti")
     if twins.isEmpty():
-        return kept
-    same = F.col(id_col).eqNullSafe(F.col("_twin")) & (text == F.col("_twin_sha"))
-    return kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates([id_col, text_col]))
+        return kept.toDF(*names)
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " "), 256)
+    same = F.col(key).eqNullSafe(F.col("gone")) & (sha == F.col("text_sha256"))
+    one = kept.withColumn("sha", sha).join(twins, F.col(key).eqNullSafe(F.col("gone")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    one = one.dropDuplicates([key, "sha"]).drop("sha")
+    return kept.join(twins, same, "left_anti").unionByName(one).toDF(*names)

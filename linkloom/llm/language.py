@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, pick, slices
+from .common import bucket_of_id, pick, place, slices
 
 WINDOW = 24
 HIDDEN = 16
@@ -247,7 +247,7 @@ def label(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns _lang and _score beside its own; one pass without a shuffle."""
     names = docs.columns
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    at = names.index(text_col)
+    at = place(docs, text_col)
     letter = F.coalesce(F.col(f"c{at}").rlike(r"\p{L}"), F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(net)
     schema = ", ".join(f"{c} {t}" for c, t in flat.dtypes) + ", _lang string, _score double"

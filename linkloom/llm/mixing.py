@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORDS, pick, stash
+from .common import WORDS, pick, place, positions, stash
 
 #: Words of budget that are left to the exact knapsack after the proportional fill.
 DP_BUDGET = 8192
@@ -146,7 +146,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` as the mix takes them: a row once for each time it is taken."""
-    times = mixed.filter("taken > 0").select(F.col("doc_id").alias("_mixed"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    joined = docs.join(stash(times, "times"), F.col(id_col).eqNullSafe(F.col("_mixed")))
-    repeats = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return joined.withColumn("_copy", repeats).select(*(F.col(f"`{c}`") for c in docs.columns))
+    times = mixed.filter("taken > 0").select(F.col("doc_id").alias("mixed"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    rows = positions(docs)
+    joined = rows.join(stash(times, "times"), F.col(f"_{place(docs, id_col)}").eqNullSafe(F.col("mixed")))
+    repeats = F.explode(F.sequence(F.lit(1), F.col("times")))
+    return joined.withColumn("copy", repeats).select(*rows.columns).toDF(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, pick, slices, stash
+from .common import LOWER, pick, place, positions, slices, stash
 
 DIFFER = 3
 SHINGLE = 3
@@ -184,5 +184,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all columns. A null id stays."""
     near = near_duplicates(docs, id_col, text_col)
-    gone = stash(near.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = stash(near.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    key = F.col(f"_{place(docs, id_col)}")
+    return positions(docs).join(gone, key == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -51,7 +51,7 @@ def test_exact_dedup_of_odd_tables(spark):
     twins = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (None, "a", "z"), (2, "long " * 9000, "w")], "doc_id long, text string, name string")
     rows = exact_dedup.exact_duplicates(twins).collect()
     assert sorted((r["keep_id"], r["group_size"]) for r in rows) == [(1, 3), (1, 3), (1, 3), (2, 1)] and sum(r["kept"] for r in rows) == 2
-    clash = twins.withColumn("KEY", F.lit(1)).withColumn("kept", F.lit("?")).withColumn("Text", F.lit("b"))
+    clash = twins.select("*", F.lit(1).alias("KEY"), F.lit("?").alias("kept"), F.lit("b").alias("Text"))
     assert exact_dedup.exact_duplicates(clash).count() == 4
     kept = exact_dedup.drop_duplicates(twins)
     assert kept.columns == twins.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
