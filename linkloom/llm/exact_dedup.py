@@ -79,7 +79,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = stash(marked.select("doc_id", "sha", "row", "level", "name"), "marked")
     copies, alone = marked.filter("name IS NOT NULL"), marked.filter("name IS NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-    groups = copies.groupBy("level", "name").agg(first, F.count("*").alias("n"))
+    # written, so that the join below has no aggregate in its stage and Spark can split a frequent name
+    groups = stash(copies.groupBy("level", "name").agg(first, F.count("*").alias("n")), "groups")
     copies = copies.join(groups, ["level", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first.row") == F.col("row")).alias("kept"), F.col("sha").alias("text_sha256")
     )

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,19 +106,27 @@ def _plan(targets: dict[str, tuple[int, float]]):
     return fit
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+#: Rows of counts by source and length up to which they are broadcast; beyond, Spark joins as it sees fit.
+BROADCAST_LENGTHS = 500_000
 
-    size: words of the text, 0 if it is null or empty. Sources in code-point order, null last, have the
-    weights in turn. taken: words that the mix takes of the row, a multiple of size up to ``cap`` times.
-    Rows are chosen by a hash of seed and id, so reruns agree; rows that repeat an id tie and are taken
-    one after the other. A source without words has the target 0. Only the totals of the sources, at most
-    ``max_sources`` rows, come to the driver; more sources raise an error.
-    """
+
+def _sized(docs: DataFrame) -> tuple[Column, Column]:
+    """Key of the source and size in words of rows (doc_id, text, source)."""
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    return key.alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("size")
+
+
+def _at(seed: int) -> tuple[Column, Column]:
+    """A row's hash and, for a group of ``n``, its bucket."""
+    at = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
+    return at, F.pmod(at, F.ceil(F.col("n") / RANKED))
+
+
+def _dealt(docs: DataFrame, weights, share: float, cap: float, seed: int, id_col: str, text_col: str, source_col: str, max_sources: int) -> DataFrame:
+    """doc_id, key, size, source_size, target, n, base, extra, at, bucket per row: what its group takes and its place in the group."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id=id_col, text=text_col, source=source_col)
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    sized = stash(docs.select("doc_id", key.alias("key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("size")), "sizes")
+    sized = stash(docs.select("doc_id", *_sized(docs)), "sizes")
     counts = stash(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "lengths")
     rows = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
@@ -128,26 +136,56 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     targets = {r["key"]: (r["size"], t) for r, t in zip(rows, fit, strict=True)}
     sources = spark.createDataFrame([(k, s, float(t)) for k, (s, t) in targets.items()], "key string, source_size long, target double")
     plan = stash(counts.groupBy("key").applyInPandas(_plan(targets), "key string, size long, n long, base long, extra long"), "plan")
-    plan = plan.join(sources, "key")
+    at, bucket = _at(seed)
+    dealt = sized.join(plan.join(sources, "key"), ["key", "size"])
+    return stash(dealt.withColumns({"at": at, "bucket": bucket}), "dealt")
 
-    at = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    dealt = sized.join(plan, ["key", "size"]).withColumn("at", at)
-    dealt = dealt.withColumn("bucket", F.pmod("at", F.ceil(F.col("n") / RANKED))).drop("n")
-    dealt = stash(dealt, "dealt")
+
+def _ranked(dealt: DataFrame) -> DataFrame:
+    """``dealt`` with once_more: whether the row is among the first ``extra`` of its group, in the order of bucket, hash and id."""
     group = ["key", "size", "bucket"]
     held = dealt.groupBy(*group, "extra").agg(F.count("*").alias("held"))
     before = F.sum("held").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     cut = held.withColumn("take", F.col("extra") - F.coalesce(before, F.lit(0))).select(*group, "take")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("at", "doc_id"))
     ranked = dealt.repartition(*group).withColumn("rank", rank)
-    times = F.col("base") + F.when(F.col("rank") <= F.col("take"), 1).otherwise(0)
-    return ranked.join(cut, group).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return ranked.join(cut, group).withColumn("once_more", F.col("rank") <= F.col("take"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` as the mix takes them: a row once for each time it is taken."""
-    times = mixed.filter("taken > 0").select(F.col("doc_id").alias("mixed"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+
+    size: words of the text, 0 if it is null or empty. Sources in code-point order, null last, have the
+    weights in turn. taken: words that the mix takes of the row, a multiple of size up to ``cap`` times.
+    Rows are chosen by a hash of seed and id, so reruns agree; rows that repeat an id tie and are taken
+    one after the other. A source without words has the target 0. Only the totals of the sources, at most
+    ``max_sources`` rows, come to the driver; more sources raise an error.
+    """
+    dealt = _dealt(docs, weights, share, cap, seed, id_col, text_col, source_col, max_sources)
+    times = F.col("base") + F.col("once_more").cast("int")
+    return _ranked(dealt).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
+    """``docs`` as the mix takes them, with all their columns: a row once for each time ``mix_sources`` takes it.
+
+    The rows taken once more are the first of their source and length in a fixed order, so the last of
+    them stands for all: each row is held against that one, and texts need no shuffle. Rows that repeat an
+    id tie and are taken together.
+    """
+    dealt = _dealt(docs, weights, share, cap, seed, id_col, text_col, source_col, max_sources)
+    last = F.max(F.when(F.col("once_more"), F.struct("bucket", "at", "doc_id"))).alias("last")
+    limits = _ranked(dealt).groupBy("key", "size").agg(F.max("n").alias("n"), F.max("base").alias("base"), last)
+    limits = stash(limits, "limits")
+    if limits.count() <= BROADCAST_LENGTHS:
+        limits = F.broadcast(limits)
     rows = positions(docs)
-    joined = rows.join(stash(times, "times"), F.col(f"_{place(docs, id_col)}").eqNullSafe(F.col("mixed")))
-    repeats = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return joined.withColumn("copy", repeats).select(*rows.columns).toDF(*docs.columns)
+    named = rows.withColumns({new: F.col(f"_{place(docs, old)}") for new, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))})
+    key, size = _sized(named)
+    at, bucket = _at(seed)
+    found = named.withColumns({"key": key, "size": size}).join(limits, ["key", "size"])
+    more = F.coalesce(F.struct(bucket.alias("bucket"), at.alias("at"), F.col("doc_id")) <= F.col("last"), F.lit(False))
+    times = F.when(F.col("size") > 0, F.col("base") + more.cast("int")).otherwise(0).cast("int")
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    found = found.withColumn("times", times).filter("times > 0").withColumn("copy", copies)
+    return found.select(*rows.columns).toDF(*docs.columns)
