@@ -12,7 +12,7 @@ from linkloom.streaming.incremental import run_stream
 
 
 def test_labelled_corpus(spark):
-    left, right, truth = labelled.inputs(spark, 300)
+    left, right, truth = labelled.inputs(spark, 120)
     assert labelled.pairs(40) == labelled.pairs(40)
     run = engine.match(left, right)
     q = evaluation.quality(run.results, truth).first()
