@@ -62,6 +62,8 @@ class Network:
 
     def log_probabilities(self, data: np.ndarray) -> np.ndarray:
         """Of windows of one length, a row each: log-probability of each label at every position (time, row, label)."""
+        if not self.labels:
+            return np.zeros((*data.T.shape, 0), np.float32)
         return self._forward(data.T, None)[0]
 
     def _forward(self, time_major: np.ndarray, keep: list | None):
