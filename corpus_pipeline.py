@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import exact_dedup, language, mixing, pieces, simhash
+from linkloom.llm import exact_dedup, language, mixing, near_copies, pieces
 from linkloom.llm.common import stash
 from linkloom.llm.queries import model_path
 
@@ -27,8 +27,8 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more the one with the smallest id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

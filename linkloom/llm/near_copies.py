@@ -1,0 +1,148 @@
+"""Near copies by exact Jaccard similarity of shingle sets, found by prefix filtering.
+
+A text's shingles are its runs of five lower-cased words, as 64-bit hashes in a set. Two sets link at a
+similarity of 4/5 or more. Shingles have one order for all texts: known frequent ones last, then by hash.
+Linked sets of n and m shingles have one in common among each one's first n - ceil(4n/5) + 1 (and so for
+m), so an equi-join over those prefixes finds every linked pair, whichever shingles count as frequent;
+``FREQUENT`` and the sample they come from decide the cost alone. Every pair is then judged by its sets.
+
+Equal sets are searched once. A key's smallest set is judged against all others first; what that connects
+needs no more pairs, so of a large group of copies only those in other components are paired.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import LOWER, pick, place, positions, slices, stash
+from .simhash import SEED, components
+
+SHINGLE = 5
+#: Frequent shingles: SEEN or more of a sample of one text in SAMPLE, the first FREQUENT by count.
+SAMPLE, SEEN, FREQUENT = 16, 5, 1 << 20
+
+_STEP = 1 << 17
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; fewer words than five form one, no words none."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.int64)
+    digest, space = xxhash.xxh64_digest, b" ".join
+    width = min(SHINGLE, len(words))
+    out = []
+    for a in range(0, len(words) - width + 1, _STEP):
+        part = words[a : a + _STEP + width - 1]
+        hashes = b"".join([digest(space(s), SEED) for s in zip(*(part[k:] for k in range(width)), strict=False)])
+        out.append(np.frombuffer(hashes, ">i8").astype(np.int64))
+    return np.unique(np.concatenate(out))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches whose first column is the text, with the sets of their texts."""
+    for batch in batches:
+        sizes = [n or 0 for n in pc.binary_length(batch.column(0)).to_pylist()]
+        for a, b in slices(sizes, 1 << 22):
+            part = batch.slice(a, b - a)
+            yield part, [shingles(t or b"") for t in part.column(0).cast(pa.binary()).to_pylist()]
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
+
+
+def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, sets in _each(batches):
+        yield pa.RecordBatch.from_arrays([_digests(sets), _lists(sets)], ["digest", "shingles"])
+
+
+def _prefixes(frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = frequent.value
+        for part, sets in _each(batches):
+            first = []
+            for s in sets:
+                keep = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
+                at = np.minimum(np.searchsorted(last, s), max(len(last) - 1, 0))
+                late = last[at] == s if len(last) else np.zeros(len(s), bool)
+                first.append(np.concatenate((s[~late], s[late]))[:keep])
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(1), _digests(sets), n, _lists(first)], ["doc_id", "digest", "n", "prefix"])
+
+    return run
+
+
+def _linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of nodes those with a similarity of 4/5 or more."""
+    pairs = stash(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stash(sets.join(nodes, "node").select("node", "digest", F.col("least").alias("id")), "wanted")
+    texts = docs.join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    found = texts.mapInArrow(_all, "digest binary, shingles array<long>").join(wanted.select("digest", "node"), "digest")
+    found = stash(found.dropDuplicates(["node"]).select("node", "shingles"), "judged")
+    side = lambda end: found.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    judged = pairs.join(side("a"), "a").join(side("b"), "b")
+    return stash(judged.filter(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "linked")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id, the smallest id that links lead to, itself included.
+
+    Words lie between ASCII white space. A null text has no words; texts without words are copies of each
+    other. component_id is null if there is no id in the component.
+    """
+    docs = pick(docs, text=text_col, doc_id=id_col)
+    kind = dict(docs.dtypes)["doc_id"]
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_all, "digest binary, shingles array<long>")
+    counted = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
+    frequent = counted.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow()["s"].to_numpy()
+    last = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+    rows = stash(docs.mapInArrow(_prefixes(last), f"doc_id {kind}, digest binary, n long, prefix array<long>"), "prefixes")
+    sets = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = stash(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+
+    keyed = sets.select("node", "n", F.explode("prefix").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct("n", "node")).alias("small")).filter("of > 1").drop("of")
+    keyed = stash(keyed.join(shared, "key"), "keyed")
+    near = lambda m, n: 5 * F.least(m, n) >= 4 * F.greatest(m, n)
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    stars = keyed.filter((F.col("small.node") != F.col("node")) & near(F.col("small.n"), F.col("n")))
+    stars = stash(stars.select(*pair("small.node", "node")).distinct(), "stars")
+    links = _linked(docs, sets, stars)
+
+    roots = stash(components(links), "roots")
+    keyed = keyed.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", F.xxhash64("node")))
+    keyed = stash(keyed, "rooted")
+    most = keyed.groupBy("key", "root").agg(F.count("*").alias("of")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", "of").alias("major"))
+    keyed = keyed.join(most.filter("roots > 1").drop("roots"), "key")
+    one = keyed.filter("root <> major").select("key", "node", "n", "root")
+    two = keyed.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    rest = one.join(two, "key").filter((F.col("root") != F.col("root2")) & near(F.col("n"), F.col("n2"))).select(*pair("node", "node2")).distinct()
+    links = links.unionByName(_linked(docs, sets, rest.join(stars, ["a", "b"], "left_anti")))
+
+    roots = stash(components(links), "roots")
+    rooted = stash(sets.select("digest", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", F.xxhash64("node"))).drop("node"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "digest").join(rooted.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest, with all columns. A null id stays."""
+    near = near_copies(docs, id_col, text_col)
+    gone = stash(near.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    key = F.col(f"_{place(docs, id_col)}")
+    return positions(docs).join(gone, key == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -1,0 +1,57 @@
+"""The pipeline's near-copy stage against brute-force Jaccard similarity."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from linkloom.llm import near_copies
+
+
+def sets_of(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def survivors(texts):
+    """Ids that stay: the smallest of each component of pairs of 5-word Jaccard 0.8 or more."""
+    sets = [sets_of(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def edited_texts(seed=0):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    notice = [word() for _ in range(25)]
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(3, 250))] + (notice if rng.random() < 0.5 else [])
+        for edits in range(6):
+            copy = list(base)
+            for _ in range(edits * rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return [*texts, "", None, " ", "one", "ONE", "one two", "a b c d e f g h", "a b c d e f g h i"]
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_stage_against_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    texts = edited_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = [r["doc_id"] for r in corpus_pipeline.remove_near_copies(spark, docs, "").collect()]
+    assert len(left) == len(set(left)) and set(left) == survivors(texts)
+
+
+def test_stage_keeps_null_ids_and_columns(spark):
+    docs = spark.createDataFrame([(None, "x y z", 1), (2, "x y z", 2), (3, "x y z", 3), (3, "other", 4)], "doc_id long, text string, k int")
+    left = corpus_pipeline.remove_near_copies(spark, docs, "")
+    assert left.columns == docs.columns and sorted(r["k"] for r in left.select(F.col("k")).collect()) == [1, 2]
