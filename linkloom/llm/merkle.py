@@ -3,8 +3,9 @@
 A section ends with a blank line, a paragraph with a line end. A paragraph's digest is the SHA-256 of its
 text, a section's that of its paragraphs' digests, the root's that of its sections' digests; splitting
 loses no character, so roots are equal exactly when texts are. Below the paragraphs, a sketch holds one
-code for each distinct sentence, cut to pieces of at most 240 bytes: 32 bits of its hash and 8 bits for
-its length. Likeness is the share of bytes in common pieces (twice the common over the sum of both).
+code for each sentence, repeats included, cut to pieces of at most 240 bytes: 32 bits of its hash and 8
+bits for its length. Likeness is the share of bytes in common pieces (twice the common over the sum of
+both); a piece is common as often as both texts have it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def root(text: Column) -> Column:
 
 
 def codes(text: Column) -> Column:
-    """The distinct piece codes of a text, in order of first appearance."""
+    """The piece codes of a text in its order; a repeated piece comes as often as the text has it."""
 
     def cut(sentence: Column) -> Column:
         n = F.octet_length(sentence)
@@ -41,7 +42,7 @@ def codes(text: Column) -> Column:
     def code(piece: Column) -> Column:
         return F.shiftleft(F.xxhash64(piece).bitwiseAND(F.lit(0xFFFFFFFF)), 8).bitwiseOR(F.octet_length(piece).cast("long"))
 
-    return F.array_distinct(F.flatten(F.transform(F.split(text, r"(?<=\n)|(?<=[.!?;|] )"), cut)))
+    return F.flatten(F.transform(F.split(text, r"(?<=\n)|(?<=[.!?;|] )"), cut))
 
 
 def weight(code_array: Column) -> Column:
@@ -49,10 +50,27 @@ def weight(code_array: Column) -> Column:
     return F.aggregate(code_array, F.lit(0).cast("long"), lambda total, c: total + c.bitwiseAND(F.lit(255)))
 
 
+def common_weight(a: Column, b: Column) -> Column:
+    """Bytes of the pieces that two sketches share, each as often as both have it."""
+    # sorted, a code's occurrences in ``a`` come right before those in ``b``, which use them up
+    both = F.sort_array(F.concat(F.transform(a, lambda c: F.shiftleft(c, 1)), F.transform(b, lambda c: F.shiftleft(c, 1).bitwiseOR(F.lit(1)))))
+    state = lambda code, free, total: F.struct(code.alias("code"), free.alias("free"), total.alias("total"))
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, x: Column) -> Column:
+        code = F.shiftright(x, 1)
+        free = F.when(s["code"] == code, s["free"]).otherwise(zero)
+        first = x.bitwiseAND(F.lit(1)) == 0
+        taken = ~first & (free > 0)
+        return state(code, F.when(first, free + 1).when(taken, free - 1).otherwise(zero), s["total"] + F.when(taken, code.bitwiseAND(F.lit(255))).otherwise(zero))
+
+    return F.aggregate(both, state(F.lit(-1).cast("long"), zero, zero), step, lambda s: s["total"])
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of common pieces of two sketches, by bytes: 1 for equal ones (two empty ones included), 0 for none in common."""
     total = weight(a) + weight(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * weight(F.array_intersect(a, b)) / total)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common_weight(a, b) / total)
 
 
 def fingerprint(root_digest: Column, code_array: Column) -> Column:

@@ -1,0 +1,20 @@
+"""Likeness counts repeated pieces as often as both texts have them."""
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from linkloom.llm import merkle
+
+
+def pieces(text):
+    return Counter(line + "\n" for line in text.split("\n")[:-1])
+
+
+def test_likeness_of_repeats(spark):
+    texts = ["same\n" * 50 + "one\ntwo\n", "same\n" * 50 + "three\n" * 4, "same\n", "one\none\nsame\n" * 3, "other\n" * 7]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    near = merkle.likeness(merkle.codes(F.col("a")), merkle.codes(F.col("b")))
+    for r in rows.select("a", "b", near.alias("near")).collect():
+        common = sum(len(p) * n for p, n in (pieces(r["a"]) & pieces(r["b"])).items())
+        assert abs(r["near"] - 2 * common / (len(r["a"]) + len(r["b"]))) < 1e-12
