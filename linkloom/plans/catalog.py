@@ -483,7 +483,7 @@ def match_parts(spark, sf_dir):
 def match_conversations(spark, sf_dir):
     """A many-to-many run: what users say first against what assistants answer first."""
     turns = table(spark, sf_dir, "conversations")
-    side = lambda role: turns.filter(F.col("role") == role).groupBy("conv_id").agg(F.min_by(F.substring("text", 1, 40), "turn").alias("name")).withColumn("ordinal", F.col("conv_id") + 1)
+    side = lambda role: turns.filter(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias("name")).withColumn("ordinal", F.col("conv_id") + 1)
     config = MatchConfig(assignment_strategy="ALL_CANDIDATES", review_threshold=0.5, max_candidates_per_src=10)
     run = engine.match(side("user"), side("assistant"), config)
     return run.results.select("source_id", "dest_id", "confidence_score", "rank", "match_status")
