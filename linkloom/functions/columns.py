@@ -13,6 +13,11 @@ def round4(x: Column) -> Column:
     return F.floor(x * 10000 + 0.5) / 10000
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number below 1,000 with so many decimals, rounded from its exact binary value, ties to even."""
+    return F.format_number(x.cast("double"), digits)
+
+
 def text_value(c: Column) -> Column:
     """A value as trimmed text, empty if missing."""
     return F.coalesce(F.trim(c.cast("string")), F.lit(""))
@@ -93,7 +98,19 @@ def token_diff(tokens: Column, others: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(t.alias("token"), near(t).alias("matched")))
 
 
+# The layouts of dates and of a time after them.
 _TIME = r"\s+\d{1,2}:\d{2}(:\d{2})?(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})|[ ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?)?$"
+_SLASHED = r"^\d{4}/\d{2}/\d{2}$"
+_COMPACT = r"^\d{8}$"
+_NAMED = r"(?i)^\d{1,2} (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4}$"
+_DAY_MONTH = r"^\s*\d+\s*([/-])\s*\d+\s*\1\s*\d+\s*$"
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def parse_date(c: Column, calendar: str = "AUTO", leap_fix: bool = True) -> Column:
@@ -102,46 +119,51 @@ def parse_date(c: Column, calendar: str = "AUTO", leap_fix: bool = True) -> Colu
     Thai digits count as digits. Exact layouts come first, then day/month/year with month/day/year as the
     second reading. Years from 2400 on are Buddhist unless the calendar is CE; two digits mean 20yy up to
     69, else 19yy, or 25yy in BE. With ``leap_fix`` the day is checked in the converted year.
+
+    A text's shape decides its layout, so at most three readings are looked at.
     """
     calendar = calendar.upper()
-    text = F.translate(F.trim(c), "๐๑๒๓๔๕๖๗๘๙", "0123456789")
+    number = lambda text: text.try_cast("int")
 
     def era(year: Column) -> Column:
         return year if calendar == "CE" else F.when(year >= 2400, year - 543).otherwise(year)
 
-    def valid(c: Column) -> Column:
+    def valid(r: Column) -> Column:
         """Whether the day exists in the year that is meant (as written, without the fix)."""
-        year, month, day = c["y"], c["m"], c["d"]
+        year, month, day = r["y"], r["m"], r["d"]
         fits = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
         length = F.dayofmonth(F.last_day(F.make_date(era(year) if leap_fix else year, F.when(fits, month), F.lit(1))))
         return F.coalesce(fits & (day <= length), F.lit(False))
 
-    def built(year: Column, month: Column, day: Column) -> Column:
+    def reading(year: Column, month: Column, day: Column) -> Column:
         return F.struct(year.cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
 
-    def part(pattern: str, i: int, of: Column = text) -> Column:
-        found = F.regexp_extract(of, pattern, i)
-        return F.when(found != "", found).try_cast("int")
-
-    iso = r"^(\d{4})-(\d{2})-(\d{2})(?:T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})|[ ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?)?$"
-    layouts = [built(part(p, 1), part(p, 2), part(p, 3)) for p in (iso, r"^(\d{4})/(\d{2})/(\d{2})$", r"^(\d{4})(\d{2})(\d{2})$")]
-    named = r"(?i)^(\d{1,2}) (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)([a-z]*) (\d{4})$"
-    short = F.lower(F.regexp_extract(text, named, 2))
-    names = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-    full = F.concat(short, F.lower(F.regexp_extract(text, named, 3)))
-    month = F.coalesce(*(F.when((full == n) | (full == n[:3]), F.lit(i)) for i, n in enumerate(names, 1)))
-    layouts.append(built(part(named, 4), month, part(named, 1)))
-    bare = F.regexp_replace(text, _TIME, "")
-    for sep in "/-":
-        p = rf"^\s*(\d+)\s*{sep}\s*(\d+)\s*{sep}\s*(\d+)\s*$"
-        raw = F.regexp_extract(bare, p, 3)
-        two = F.lit(2500) + part(p, 3, bare) if calendar == "BE" else part(p, 3, bare) + F.when(part(p, 3, bare) <= 69, 2000).otherwise(1900)
-        year = F.when(F.char_length(raw) <= 2, two).otherwise(part(p, 3, bare))
-        x, y = part(p, 1, bare), part(p, 2, bare)
-        layouts += [built(year, y, x), built(year, x, y)]
-    # the first reading that is a date; one array, so that the generated code stays small
-    read = F.get(F.filter(F.array(*layouts), valid), F.lit(0))
-    return F.date_add(F.make_date(era(read["y"]), read["m"], F.lit(1)), read["d"] - 1)
+    def at(text: Column, month: int, day: int) -> Column:
+        return reading(number(F.substring(text, 1, 4)), number(F.substring(text, month, 2)), number(F.substring(text, day, 2)))
+
+    def spelled(parts: Column) -> Column:
+        month = F.coalesce(*(F.when(parts[1].isin(n, n[:3]), F.lit(i)) for i, n in enumerate(_MONTHS, 1)))
+        return reading(number(parts[2]), month, number(parts[0]))
+
+    def whole(text: Column) -> Column:
+        shapes = F.when(text.rlike(_ISO) | text.rlike(_SLASHED), at(text, 6, 9)).when(text.rlike(_COMPACT), at(text, 5, 7))
+        return shapes.when(text.rlike(_NAMED), bound(F.split(F.lower(text), " "), spelled))
+
+    def either(parts: Column) -> Column:
+        """Day first and month first."""
+        x, y, z = (number(F.get(parts, F.lit(i))) for i in range(3))
+        two = F.lit(2500) + z if calendar == "BE" else z + F.when(z <= 69, 2000).otherwise(1900)
+        year = F.when(F.char_length(F.get(parts, F.lit(2))) <= 2, two).otherwise(z)
+        return F.array(reading(year, y, x), reading(year, x, y))
+
+    def first(text: Column) -> Column:
+        bare = F.regexp_replace(text, _TIME, "")
+        split = F.when(bare.rlike(_DAY_MONTH), F.split(F.regexp_replace(bare, r"\s+", ""), "[/-]"))
+        readings = F.concat(F.array(whole(text)), bound(split, either))
+        return F.get(F.filter(readings, valid), F.lit(0))
+
+    text = F.translate(F.trim(c), "๐๑๒๓๔๕๖๗๘๙", "0123456789")
+    return bound(bound(text, first), lambda r: F.date_add(F.make_date(era(r["y"]), r["m"], F.lit(1)), r["d"] - 1))
 
 
 def equal_fold(a: Column, b: Column) -> Column:

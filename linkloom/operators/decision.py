@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import MatchConfig
+from ..functions import columns as C
 
 AUTO, REVIEW, NO_MATCH = "AUTO_MATCHED", "REVIEW_NEEDED", "NO_MATCH"
 
@@ -36,9 +37,9 @@ def auto_matchable(score: Column, runner_up: Column, cross_script: Column, confi
     exact = (score >= config.exact_match_floor) & (runner_up < config.exact_match_floor)
     clear = (score >= bar) & (score - runner_up >= config.margin_threshold)
     note = (
-        F.when(exact, F.format_string("Exact normalized match; best fuzzy alternative scored %.3f", runner_up))
+        F.when(exact, F.concat(F.lit("Exact normalized match; best fuzzy alternative scored "), C.fixed(runner_up, 3)))
         .when(clear, "Top candidate meets auto-match threshold and margin threshold")
-        .when(score >= bar, F.format_string("Ambiguous: runner-up within %.3f — needs review", score - runner_up))
+        .when(score >= bar, F.concat(F.lit("Ambiguous: runner-up within "), C.fixed(score - runner_up, 3), F.lit(" — needs review")))
         .otherwise("Below auto-match threshold — needs review")
     )
     return exact | clear, note
@@ -82,7 +83,7 @@ def greedy(pairs: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     best = pairs.filter(claims).groupBy("dest_id").agg(F.min(F.struct((-F.col("total_score")).alias("s"), "source_id")).alias("winner"))
     out = pairs.join(best, "dest_id", "left")
     lost = claims & (F.col("winner.source_id") != F.col("source_id"))
-    told = F.format_string("Destination already assigned to %s at %.3f", F.col("winner.source_id"), -F.col("winner.s"))
+    told = F.concat(F.lit("Destination already assigned to "), F.col("winner.source_id"), F.lit(" at "), C.fixed(-F.col("winner.s"), 3))
     return out.withColumns({
         "match_status": F.when(lost, REVIEW).otherwise(F.col("match_status")),
         "decision_note": F.when(lost, told).otherwise(F.col("decision_note")),

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 #: Fields that a page can be sorted by.
 SORTABLE = ("confidence_score", "name_score", "date_score", "match_status", "created_at", "source_name", "dest_name")
 #: Columns of the exported results, in order.
@@ -103,7 +105,7 @@ def batch_summaries(results: DataFrame) -> DataFrame:
 def export_rows(hydrated: DataFrame) -> DataFrame:
     """The rows of the results file: four decimals, reasons joined, empty cells for what is missing."""
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EXPORT if c not in ("confidence_score", "reasons")}
-    text["confidence_score"] = F.format_string("%.4f", F.coalesce("confidence_score", F.lit(0.0)))
+    text["confidence_score"] = C.fixed(F.coalesce("confidence_score", F.lit(0.0)), 4)
     text["reasons"] = F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), "; ")
     return hydrated.select(*(text[c].alias(c) for c in EXPORT))
 

@@ -66,12 +66,12 @@ def _field(s: SecondaryField, a: Column, b: Column) -> tuple[Column, Column, Col
     reason = F.lit(None).cast("string")
     if s.match_type == "EXACT":
         same = C.equal_fold(a, b)
-        hit = F.format_string(f"Exact match on {s.name} (%s == %s)", a, b)
-        miss = F.format_string(f"Mandatory mismatch on {s.name} (%s != %s)", a, b) if s.is_mandatory else reason
+        hit = F.concat(F.lit(f"Exact match on {s.name} ("), a, F.lit(" == "), b, F.lit(")"))
+        miss = F.concat(F.lit(f"Mandatory mismatch on {s.name} ("), a, F.lit(" != "), b, F.lit(")")) if s.is_mandatory else reason
         return F.when(same, 1.0).otherwise(0.0), F.when(same, hit).otherwise(miss), ~same if s.is_mandatory else no
     if s.match_type == "FUZZY":
         like = udfs.jaro_winkler(F.lower(a), F.lower(b))
-        return like, F.when(like >= 0.85, F.format_string(f"High similarity on {s.name} (%.0f%%)", like * 100)), no
+        return like, F.when(like >= 0.85, F.concat(F.lit(f"High similarity on {s.name} ("), C.fixed(like * 100, 0), F.lit("%)"))), no
     if s.match_type == "NUMERIC_DELTA":
         near = C.numeric_delta(a, b)
         said = F.when(near == 1, f"Exact numeric match on {s.name}").when(near == 0.9, f"Close numeric value on {s.name}")

@@ -143,3 +143,27 @@ def test_query_agrees_with_sql(spark, name):
     mine = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
     theirs = sorted((tuple(plain(v) for v in r) for r in wanted.project(", ".join(columns)).fetchall()), key=str)
     assert mine == theirs
+
+
+def test_notes_round_the_exact_binary_value(spark):
+    from linkloom.functions import columns as C
+
+    values = [0.9175, 0.9185, 0.0625, 0.1875, 0.3125, 0.0005, 0.9995, 1.0, 0.0, 0.12345, 0.50005]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r["x"]: (r["a"], r["b"]) for r in rows.select("x", C.fixed(rows.x, 3).alias("a"), C.fixed(rows.x, 4).alias("b")).collect()}
+    assert got == {v: (f"{v:.3f}", f"{v:.4f}") for v in values}
+
+
+def test_dates_of_every_shape(spark):
+    import datetime
+
+    from linkloom.functions import columns as C
+
+    cases = {
+        "2023-02-28": (2023, 2, 28), "2023-02-30": None, "2023/12/01": (2023, 12, 1), "20240229": (2024, 2, 29), "29/02/2567": (2024, 2, 29), "3 September 2020": (2020, 9, 3),
+        "3 sept 2020": None, "31/12/69": (2069, 12, 31), "31-12-70 23:59": (1970, 12, 31), "12/31/2020": (2020, 12, 31), "31/31/2020": None, "๐๑/๐๒/๒๕๖๖": (2023, 2, 1),
+        "0005-13-05": (2005, 5, 13), "1/2-2020": None, "99999999999/1/2": None, "": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: r["d"] for r in rows.select("t", C.parse_date(rows.t).alias("d")).collect()}
+    assert got == {t: d and datetime.date(*d) for t, d in cases.items()}
