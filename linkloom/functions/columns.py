@@ -14,8 +14,16 @@ def round4(x: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number below 1,000 with so many decimals, rounded from its exact binary value, ties to even."""
-    return F.format_number(x.cast("double"), digits)
+    """A number from 0 to 1,000 with at most four decimals, rounded from its exact binary value, ties to even."""
+    scale, x = 10**digits, x.cast("double")
+    # two parts of the number whose products with the scale lose no bit
+    high = F.floor(x * F.lit(float(1 << 26))) / F.lit(float(1 << 26))
+    low = F.floor(x * scale)
+    beyond = (high * scale - (low + 0.5)) + (x - high) * scale
+    n = low + F.when(beyond > 0, 1).when(beyond == 0, low % 2).otherwise(0)
+    if not digits:
+        return n.cast("string")
+    return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
 
 
 def text_value(c: Column) -> Column:

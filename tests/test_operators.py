@@ -148,7 +148,7 @@ def test_query_agrees_with_sql(spark, name):
 def test_notes_round_the_exact_binary_value(spark):
     from linkloom.functions import columns as C
 
-    values = [0.9175, 0.9185, 0.0625, 0.1875, 0.3125, 0.0005, 0.9995, 1.0, 0.0, 0.12345, 0.50005]
+    values = [0.9175, 0.9185, 0.0625, 0.1875, 0.3125, 0.0005, 0.9995, 1.0, 0.0, 0.12345, 0.50005, 0.00005, 0.00015, 7.0625, 999.9995]
     rows = spark.createDataFrame([(v,) for v in values], "x double")
     got = {r["x"]: (r["a"], r["b"]) for r in rows.select("x", C.fixed(rows.x, 3).alias("a"), C.fixed(rows.x, 4).alias("b")).collect()}
     assert got == {v: (f"{v:.3f}", f"{v:.4f}") for v in values}
