@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +89,40 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable[[], Any]) -> Any:
+    """The one thing that a Python worker keeps from task to task; what it kept under another key is freed first.
+
+    Workers are used again by later stages, so what each stage keeps would otherwise add up.
+    """
+    if key not in _RESIDENT:
+        vacate()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def vacate() -> None:
+    """Free what the worker keeps, back to the system where that is possible."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def sized_parts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with the bytes of a text column, null as empty: about ``limit`` bytes, or one row beyond it."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+        for a, b in slices(sizes, limit):
+            part = batch.slice(a, b - a)
+            yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]

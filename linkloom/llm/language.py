@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, pick, place, slices
+from .common import bucket_of_id, pick, place, resident, slices
 
 WINDOW = 24
 HIDDEN = 16
@@ -30,8 +30,8 @@ STEPS, BATCH, RATE = 500, 256, 0.02
 FOLDS, TEST_FOLD = 4, 2
 UNKNOWN = "und"
 
-MEMO_WINDOWS = 200_000
-_SLICE = 1 << 21
+MEMO_WINDOWS = 150_000
+_SLICE = 1 << 20
 _RUN = 4096
 
 
@@ -192,17 +192,11 @@ class Memo:
         return sum(self.texts([text[a : a + _SLICE]]) for a in range(0, len(text), _SLICE))[0]
 
 
-_MEMOS: dict[str, Memo] = {}
-
-
 def _predict(model, text_at: int, letter_at: int):
     tag = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _MEMOS:
-            _MEMOS.clear()
-            _MEMOS[tag] = Memo(model.value)
-        memo = _MEMOS[tag]
+        memo = resident(("language", tag), lambda: Memo(model.value))
         labels = np.array([*memo.net.labels, UNKNOWN], object)
         for batch in batches:
             column = batch.column(text_at)

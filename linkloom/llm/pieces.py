@@ -20,17 +20,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, slices
+from .common import pick, resident, slices
 from .hashing import IntTable
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-#: Entries that a worker's memo of words holds before it starts afresh.
-MEMO_WORDS = 150_000
+#: Entries that a worker's memo of words holds before it starts afresh, and bytes of their words, ids and texts.
+MEMO_WORDS, MEMO_BYTES = 120_000, 8 << 20
 #: Characters of distinct words that are encoded in one call.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 #: Bytes of text that are cut into words at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -179,19 +179,21 @@ class Memo:
     """Words seen by this worker: number of ids, ids in decimal with commas, decoded bytes."""
 
     def __init__(self, model: PieceModel, limit: int = MEMO_WORDS):
-        self.model, self.limit, self.known = model, limit, {}
+        self.model, self.limit, self.known, self.bytes = model, limit, {}, 0
 
     def learn(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
+        if len(self.known) + len(new) > self.limit or self.bytes > MEMO_BYTES:
+            self.known, self.bytes = {}, 0
             new = list(dict.fromkeys(words))
         for a, b in slices([len(w) for w in new], BATCH_CHARS):
             ids, counts = merge_rounds(self.model, new[a:b])
             digits = [str(i) for i in ids.tolist()]
             ids, at = ids.tolist(), 0
             for w, n in zip(new[a:b], counts.tolist(), strict=True):
-                self.known[w] = (n, ",".join(digits[at : at + n]).encode(), b"".join([self.model.text[i] for i in ids[at : at + n]]))
+                made = (n, ",".join(digits[at : at + n]).encode(), b"".join([self.model.text[i] for i in ids[at : at + n]]))
+                self.known[w] = made
+                self.bytes += len(w) + len(made[1]) + len(made[2])
                 at += n
 
     def digest(self, words: list[str]) -> tuple[int, str, str]:
@@ -202,14 +204,8 @@ class Memo:
         return sum([k[0] for k in known]), ids, text
 
 
-_MODELS: dict[bytes, Memo] = {}
-
-
 def _memo(model: bytes) -> Memo:
-    key = hashlib.sha256(model).digest()
-    if key not in _MODELS:
-        _MODELS[key] = Memo(PieceModel(model))
-    return _MODELS[key]
+    return resident(("pieces", hashlib.sha256(model).digest()), lambda: Memo(PieceModel(model)))
 
 
 def _digests(model):

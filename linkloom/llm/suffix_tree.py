@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucket_of_id, pick, slices, stash
+from .common import LOWER, bucket_of_id, pick, resident, slices, stash
 from .hashing import IntTable
 
 DEPTH = 5
@@ -168,18 +168,11 @@ def _tree(grams: DataFrame, total: int) -> Tree:
     return Tree(by_move, by_state)
 
 
-_FROZEN: dict[str, tuple] = {}
-
-
 def _scores(model):
     tag = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _FROZEN:
-            _FROZEN.clear()
-            tree, known = model.value
-            _FROZEN[tag] = tree.freeze(), known.get
-        tree, known = _FROZEN[tag]
+        tree, known = resident(("suffix tree", tag), lambda: (model.value[0].freeze(), model.value[1].get))
         for batch in batches:
             column = batch.column(0)
             sizes = [x or 0 for x in pc.binary_length(column).to_pylist()]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkloom.llm import near_copies
+from linkloom.llm import simhash_sets
 
 
 def sets_of(text):
@@ -44,7 +44,7 @@ def edited_texts(seed=0):
 
 @pytest.mark.parametrize("sample", [1, 16])
 def test_stage_against_brute_force(spark, monkeypatch, sample):
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(simhash_sets, "SAMPLE", sample)
     texts = edited_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = [r["doc_id"] for r in corpus_pipeline.remove_near_copies(spark, docs, "").collect()]
@@ -55,3 +55,34 @@ def test_stage_keeps_null_ids_and_columns(spark):
     docs = spark.createDataFrame([(None, "x y z", 1), (2, "x y z", 2), (3, "x y z", 3), (3, "other", 4)], "doc_id long, text string, k int")
     left = corpus_pipeline.remove_near_copies(spark, docs, "")
     assert left.columns == docs.columns and sorted(r["k"] for r in left.select(F.col("k")).collect()) == [1, 2]
+
+
+def test_ring_never_loses_a_linked_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, linked = [], []
+    for n in (1, 2, 9, 63, 64, 65, 130, 700, 3000):
+        for changed in (0, n // 20, n // 9, n // 4, n):
+            a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+            b = np.unique(np.concatenate((a[changed:], rng.integers(-(1 << 62), 1 << 62, changed // 2))))
+            common, both = len(np.intersect1d(a, b)), len(a) + len(b)
+            rows.append((simhash_sets.ring(a).tolist(), simhash_sets.ring(b).tolist(), both // 9))
+            linked.append(9 * common >= 4 * both)
+    found = spark.createDataFrame(rows, "a array<long>, b array<long>, budget long").coalesce(1)
+    got = [r["near"] for r in found.select(simhash_sets.in_ring(F.col("a"), F.col("b"), F.col("budget")).alias("near")).collect()]
+    assert all(g for g, is_linked in zip(got, linked, strict=True) if is_linked) and sum(got) < sum(linked) + 6
+
+
+@pytest.mark.parametrize("picked", [0, 1 << 20])
+def test_all_texts_are_judged_where_many_are_wanted(spark, monkeypatch, picked):
+    monkeypatch.setattr(simhash_sets, "PICKED", picked)
+    texts = edited_texts(2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_sets.drop_similar(docs).collect()} == survivors(texts)
+
+
+def test_similar_texts_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, "n"), (2, "a b c", 2, "m")], "doc_id long, text string, Node int, ring string")
+    assert [tuple(r) for r in simhash_sets.drop_similar(docs).collect()] == [(1, "a b c", 1, "n")]
+    assert simhash_sets.similar_texts(docs.limit(0)).count() == 0
