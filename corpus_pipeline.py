@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import exact_dedup, language, mixing, near_copies, pieces
-from linkloom.llm.common import stash
+from linkloom.llm import exact_dedup, language, mixing, pieces, simhash_sets
+from linkloom.llm.common import place, positions, stash
 from linkloom.llm.queries import model_path
 
 #: Share of a document's language below which no language is accepted.
@@ -15,10 +15,11 @@ LEAST_SHARE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts that are null, have no letter or fit no language; a missing language is filled in."""
-    names = docs.columns
-    out = language.label(docs, language.fit(docs))
-    out = out.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SHARE))
-    return out.withColumn("lang", F.coalesce("lang", "_lang")).select(*names)
+    names, n = docs.columns, len(docs.columns)
+    labelled = positions(language.label(docs, language.fit(docs)))  # by position, as names may clash
+    found, score, lang = F.col(f"_{n}"), F.col(f"_{n + 1}"), f"_{place(docs, 'lang')}"
+    kept = labelled.filter((found != language.UNKNOWN) & (score >= LEAST_SHARE))
+    return kept.withColumn(lang, F.coalesce(lang, found)).drop(f"_{n}", f"_{n + 1}").toDF(*names)
 
 
 def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 or more the one with the smallest id stays."""
-    return near_copies.drop_near_copies(docs)
+    return simhash_sets.drop_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
