@@ -74,6 +74,20 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes and rows of the Arrow batches in which texts go to Python, where the session leaves Spark's defaults.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, as 10,000 texts at once would take much of an executor's memory.
+
+    Settings that differ from Spark's defaults are left as they are.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def bucket_of_id(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, pick, place, resident, slices
+from .common import bucket_of_id, pick, place, resident, slices, small_batches
 
 WINDOW = 24
 HIDDEN = 16
@@ -241,6 +241,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def label(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns _lang and _score beside its own; one pass without a shuffle."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = place(docs, text_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stash
+from .common import pick, small_batches, stash
 
 ACCEPT = 0.8
 #: Words of a part of a long line, and from one part's start to the next.
@@ -130,6 +130,7 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
     the highest cosine counts, then the smallest path. Null texts have no licence of their own; a null
     path lies in the root directory. Repeated rows get equal results.
     """
+    small_batches(files.sparkSession)
     rows = pick(files, text=text_col, id=id_col, path=path_col).withColumn("path", F.coalesce("path", F.lit("")))
     kind = dict(rows.dtypes)["id"]
     scanned = stash(rows.mapInArrow(_scanned, f"id {kind}, path string, present array<int>, segments array<string>"), "scanned")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, resident, slices
+from .common import pick, resident, slices, small_batches
 from .hashing import IntTable
 
 MARK = "▁"
@@ -67,10 +67,9 @@ class PieceModel:
         self.chars = np.full(0x110000, self.unknown, np.int32)
         self.chars[[ord(c) for c in chars]] = [number[c] for c in chars]
         self.width = self.unknown + 1
-        pairs = [(number[p[:k]] * self.width + number[p[k:]], rank[p], number[p]) for p in pieces for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
-        keys = np.array([k for k, _, _ in pairs], np.int64)
-        self.pairs = IntTable(keys)
-        self.rank = np.array([r for _, r, _ in pairs] + [NONE], np.int32)  # the last is for -1, not found
+        cuts = [(p, k) for p in pieces for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        self.pairs = IntTable(np.fromiter((number[p[:k]] * self.width + number[p[k:]] for p, k in cuts), np.int64, len(cuts)))
+        self.rank = np.array([rank[p] for p, _ in cuts] + [NONE], np.int32)  # the last is for -1, not found
         self.made = np.array([number[p] for p in sorted(rank, key=rank.get)], np.int32)
         inner: set[str] = set()
         for q in pieces:
@@ -244,6 +243,7 @@ def _long(memo: Memo, words: list[str]) -> tuple[int, str, str]:
 
 def load_model(spark: SparkSession, path: str):
     """The model file's bytes, half a megabyte, as a broadcast."""
+    small_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

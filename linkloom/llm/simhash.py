@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, pick, place, positions, slices, stash
+from .common import LOWER, pick, place, positions, slices, small_batches, stash
 
 DIFFER = 3
 SHINGLE = 3
@@ -69,6 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (long with the fingerprint's bits) per row of ``docs``."""
+    small_batches(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
     return docs.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, pick, place, positions, sized_parts, stash, vacate
+from .common import LOWER, pick, place, positions, sized_parts, small_batches, stash, vacate
 from .simhash import SEED, components
 
 SHINGLE = 5
@@ -157,6 +157,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words lie between ASCII white space. A null text has no words; texts without words are copies of each
     other. component_id is null if there is no id in the component.
     """
+    small_batches(docs.sparkSession)
     docs = pick(docs, text=text_col, doc_id=id_col)
     kind, context = dict(docs.dtypes)["doc_id"], docs.sparkSession.sparkContext
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sets(context.broadcast(None)), "digest binary, shingles array<long>")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucket_of_id, pick, resident, slices, stash
+from .common import LOWER, bucket_of_id, pick, resident, slices, small_batches, stash
 from .hashing import IntTable
 
 DEPTH = 5
@@ -202,6 +202,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others are held out. A null text counts as empty, that is one end; a null id as empty text. Repeated
     rows count and are scored each. Without training rows every probability is that of the smoothing.
     """
+    small_batches(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
     docs = docs.select("text", "doc_id", (bucket_of_id("doc_id", HELD_OUT) == 0).alias("held_out"))
     train = docs.filter("NOT held_out").select("text")
