@@ -30,7 +30,7 @@ STEPS, BATCH, RATE = 500, 256, 0.02
 FOLDS, TEST_FOLD = 4, 2
 UNKNOWN = "und"
 
-MEMO_WINDOWS = 150_000
+MEMO_WINDOWS = 100_000
 _SLICE = 1 << 20
 _RUN = 4096
 

@@ -26,7 +26,7 @@ from .hashing import IntTable
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 #: Entries that a worker's memo of words holds before it starts afresh, and bytes of their words, ids and texts.
-MEMO_WORDS, MEMO_BYTES = 120_000, 8 << 20
+MEMO_WORDS, MEMO_BYTES = 80_000, 6 << 20
 #: Characters of distinct words that are encoded in one call.
 BATCH_CHARS = 1 << 19
 #: Bytes of text that are cut into words at a time.

@@ -14,7 +14,8 @@ their share of the budget; then the full Hamming check; what is left is judged b
 linked pair. The order puts shingles last that a sample shows to be frequent; it decides the cost alone.
 
 A key's smallest set is judged against all others first; what that connects needs no more pairs, so of a
-large group of copies only those in other components are paired.
+large group of copies only those in other components are paired. Where more than ``FEW`` sets share a key and
+are not all connected, they are not paired either: chunks of them return spanning forests of their links.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,8 @@ from .common import LOWER, pick, place, positions, sized_parts, small_batches, s
 from .simhash import SEED, components
 
 SHINGLE = 5
+#: Sets of a key up to which those of different components are paired; sets and shingles of a chunk beyond that.
+FEW, CHUNK, CHUNK_SHINGLES = 64, 1024, 1 << 17
 #: Consecutive segments of 64 bits that the ring looks at before the full check.
 CHAIN = 4
 #: Frequent shingles: SEEN or more of a sample of one text in SAMPLE, the first FREQUENT by count.
@@ -133,24 +137,72 @@ def _id_hash(column: str) -> Column:
     return F.xxhash64(F.lit(5), F.col(column).cast("string"))
 
 
+def _judged(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles of some nodes, from their texts."""
+    wanted = stash(sets.join(nodes, "node").select("node", "digest", _id_hash("least").alias("id")), "wanted")
+    ids = wanted.select("id").limit(PICKED + 1).toArrow()["id"].to_numpy()
+    only = docs.sparkSession.sparkContext.broadcast(np.unique(ids) if len(ids) <= PICKED else None)
+    found = docs.select("text", _id_hash("doc_id").alias("id")).mapInArrow(_sets(only), "digest binary, shingles array<long>")
+    return stash(found.join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "judged")
+
+
 def _linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of nodes those with a similarity of 4/5 or more."""
     end = lambda side: sets.select(F.col("node").alias(side), F.col("ring").alias(f"r{side}"), F.col("n").alias(f"n{side}"))
     budget = F.floor((F.col("na") + F.col("nb")) / 9)
     near = pairs.join(end("a"), "a").join(end("b"), "b").filter(in_ring(F.col("ra"), F.col("rb"), budget))
     pairs = stash(near.select("a", "b"), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stash(sets.join(nodes, "node").select("node", "digest", _id_hash("least").alias("id")), "wanted")
-    ids = wanted.select("id").limit(PICKED + 1).toArrow()["id"].to_numpy()
-    only = docs.sparkSession.sparkContext.broadcast(np.unique(ids) if len(ids) <= PICKED else None)
-    found = docs.select("text", _id_hash("doc_id").alias("id")).mapInArrow(_sets(only), "digest binary, shingles array<long>")
-    found = stash(found.join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "judged")
+    found = _judged(docs, sets, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     side = lambda end: found.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
     common = F.size(F.array_intersect("sa", "sb"))
     judged = pairs.join(side("a"), "a").join(side("b"), "b")
     return stash(judged.filter(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "linked")
 
 
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links between the sets of one or two chunks, from their inverted index."""
+    nodes, sets = pdf["node"].to_numpy(), pdf["shingles"].tolist()
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(ids, kind="stable")
+    postings, starts = owner[order], np.concatenate(([0], np.cumsum(np.bincount(ids))))
+    ends = np.cumsum(sizes)
+    left = np.ones(len(sets), bool)
+    a, b = [], []
+    for first in range(len(sets)):
+        front = [first] if left[first] else []
+        left[first] = False
+        while front:
+            at = front.pop()
+            own = ids[ends[at] - sizes[at] : ends[at]]
+            common = np.bincount(np.concatenate([postings[starts[k] : starts[k + 1]] for k in own]), minlength=len(sets))
+            near = np.flatnonzero(left & (9 * common >= 4 * (sizes + sizes[at])))
+            left[near] = False
+            a += [nodes[at]] * len(near)
+            b += nodes[near].tolist()
+            front += near.tolist()
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _forests(docs: DataFrame, sets: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Links (a, b) that connect whatever is linked among nodes that share a crowded key.
+
+    Nodes that crowded keys connect are a cluster. It is dealt to chunks of bounded size; each pair of
+    chunks returns a spanning forest of its links, so no pairs are written, however large the cluster is.
+    """
+    first = stash(crowded.groupBy("key").agg(F.min("node").alias("a")), "first")
+    edges = crowded.join(first, "key").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    clusters = stash(components(stash(edges, "crowded")), "clusters").join(sets.select("node", "n"), "node")
+    chunks = F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks")
+    sizes = stash(clusters.groupBy("root").agg(chunks), "chunks")
+    dealt = clusters.join(_judged(docs, sets, clusters.select("node")), "node").join(sizes, "root")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    return stash(dealt.groupBy("root", "i", "j").applyInPandas(_forest, "a long, b long").distinct(), "forests")
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id, the smallest id that links lead to, itself included.
 
@@ -181,12 +233,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = stash(components(links), "roots")
     keyed = keyed.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", F.xxhash64("node")))
     keyed = stash(keyed, "rooted")
-    most = keyed.groupBy("key", "root").agg(F.count("*").alias("of")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", "of").alias("major"))
-    keyed = keyed.join(stash(most.filter("roots > 1").drop("roots"), "most"), "key")
+    most = keyed.groupBy("key", "root").agg(F.count("*").alias("of")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("of").alias("nodes"), F.max_by("root", "of").alias("major"))
+    keyed = stash(keyed.join(stash(most.filter("roots > 1").drop("roots"), "most"), "key"), "apart")
+    crowded = keyed.filter(F.col("nodes") > FEW).select("key", "node")
+    keyed = keyed.filter(F.col("nodes") <= FEW)
     one = keyed.filter("root <> major").select("key", "node", "n", "root")
     two = keyed.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     rest = one.join(two, "key").filter((F.col("root") != F.col("root2")) & near(F.col("n"), F.col("n2"))).select(*pair("node", "node2")).distinct()
     links = links.unionByName(_linked(docs, sets, rest.join(stars, ["a", "b"], "left_anti")))
+    if not crowded.isEmpty():
+        links = links.unionByName(_forests(docs, sets, crowded))
 
     roots = stash(components(links), "roots")
     rooted = sets.select("digest", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", F.xxhash64("node")))

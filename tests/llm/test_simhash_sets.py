@@ -74,6 +74,15 @@ def test_ring_never_loses_a_linked_pair(spark):
     assert all(g for g, is_linked in zip(got, linked, strict=True) if is_linked) and sum(got) < sum(linked) + 6
 
 
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_crowded_keys_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash_sets, "FEW", 2)
+    monkeypatch.setattr(simhash_sets, "CHUNK", chunk)
+    texts = edited_texts(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_sets.drop_similar(docs).collect()} == survivors(texts)
+
+
 @pytest.mark.parametrize("picked", [0, 1 << 20])
 def test_all_texts_are_judged_where_many_are_wanted(spark, monkeypatch, picked):
     monkeypatch.setattr(simhash_sets, "PICKED", picked)
