@@ -46,10 +46,11 @@ def water_fill(sizes: list[int], weights: list[float], share: float, cap: float)
 
 
 def fit_budget(lengths: Iterable[int], counts: Iterable[int], budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many documents of each distinct length to take so that their words come nearest to ``budget`` from below.
+    """How many documents of each distinct length to take so that their words come near to ``budget`` from below.
 
-    A proportional part of every length is taken first and the large lengths fill up to ``dp_budget``; a
-    bounded knapsack over what is left of each length then finds the best sum for the rest.
+    Up to 2 ``dp_budget`` words a bounded knapsack finds the best sum there is. For a larger budget a
+    proportional part of every length is taken first and the large lengths fill up to ``dp_budget``; the
+    knapsack then finds the best sum for the rest from what is left of each length.
     """
     lengths, counts = np.asarray(list(lengths), np.int64), np.asarray(list(counts), np.int64)
     taken = np.zeros(len(lengths), np.int64)
@@ -60,7 +61,8 @@ def fit_budget(lengths: Iterable[int], counts: Iterable[int], budget: int, dp_bu
         return np.where(lengths > 0, counts, 0)
     use = np.flatnonzero(lengths > 0)
     # whole-number arithmetic, as a product of counts and budget may pass 2**53
-    taken[use] = [int(c) * budget // total for c in counts[use]]
+    if budget > 2 * dp_budget:
+        taken[use] = [int(c) * budget // total for c in counts[use]]
     rest = budget - int((lengths * taken).sum())
     order = use[np.argsort(-lengths[use], kind="stable")]
     for keep in (dp_budget, 0):

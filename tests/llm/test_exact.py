@@ -111,9 +111,9 @@ def test_simhash_of_odd_tables(spark):
 
 def test_knapsack_against_brute_force():
     rng = np.random.default_rng(2)
-    for _ in range(200):
-        lengths = np.unique(rng.integers(0, 12, 4))
-        counts = rng.integers(1, 4, len(lengths))
+    for _ in range(1500):
+        lengths = np.unique(rng.integers(0, 40, 5))
+        counts = rng.integers(1, 5, len(lengths))
         items = np.repeat(lengths, counts)
         sums = {0}
         for x in items:
@@ -121,11 +121,15 @@ def test_knapsack_against_brute_force():
         budget = int(rng.integers(0, items.sum() + 3))
         taken = mixing.fit_budget(lengths, counts, budget)
         assert (taken <= counts).all() and (taken >= 0).all()
-        assert int((taken * lengths).sum()) <= budget
-        if budget >= items.sum():
-            assert (taken * lengths).sum() == items.sum()
+        assert int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
     exact = mixing.fit_budget([3, 5, 7], [40, 40, 40], 311)
     assert (exact * [3, 5, 7]).sum() == 311
+    for _ in range(30):  # budgets beyond the knapsack's table are met too where lengths are many
+        lengths = np.unique(rng.integers(1, 3000, 200))
+        counts = rng.integers(1, 50, len(lengths))
+        budget = int((lengths * counts).sum() * rng.random())
+        taken = mixing.fit_budget(lengths, counts, budget)
+        assert (taken <= counts).all() and (taken * lengths).sum() == budget
 
 
 def test_water_fill():
