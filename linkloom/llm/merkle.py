@@ -1,11 +1,15 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions only.
-
-A section ends with a blank line, a paragraph with a line end. A paragraph's digest is the SHA-256 of its
-text, a section's that of its paragraphs' digests, the root's that of its sections' digests; splitting
-loses no character, so roots are equal exactly when texts are. Below the paragraphs, a sketch holds one
-code for each sentence, repeats included, cut to pieces of at most 240 bytes: 32 bits of its hash and 8
-bits for its length. Likeness is the share of bytes in common pieces (twice the common over the sum of
-both); a piece is common as often as both texts have it.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces, in DataFrame functions only.
+
+A section ends with a blank line, a paragraph with a line end, a piece with a sentence or after 240 bytes.
+A piece's digest is the SHA-256 of its bytes, a paragraph's that of its pieces' digests, a section's that of
+its paragraphs' digests, the root's that of its sections' digests; splitting loses no character and every
+digest covers whole digests, so roots are equal exactly when texts are.
+
+A fingerprint is the root and a sketch of the tree's leaves: a code for each distinct leaf (32 bits from
+its digest and 8 bits for its length) with the number of leaves that have it, the ``SKETCH`` smallest codes
+at most. Likeness is the share of bytes in common leaves (twice the common over the sum of both), each
+common as often as both texts have it: over all leaves where both sketches are whole, else over the codes up
+to the smaller end of both sketches, which are a sample by hash of both trees' leaves.
 """
 
 from __future__ import annotations
@@ -17,65 +21,86 @@ from pyspark.sql.window import Window
 from .common import pick, stash
 
 PIECE_BYTES = 240
+#: Distinct leaves in a fingerprint at most, so that its length is bounded whatever the text's is.
+SKETCH = 256
 
 
-def sections(text: Column) -> Column:
-    """Array of sections, each an array of its paragraphs' SHA-256 digests."""
+def tree(text: Column) -> Column:
+    """The leaves by section and paragraph: digest and number of bytes of each."""
+
+    def leaves(paragraph: Column) -> Column:
+        return F.flatten(F.transform(F.split(paragraph, r"(?<=[.!?;|] )"), cut))
+
+    def cut(sentence: Column) -> Column:
+        raw = sentence.cast("binary")
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / PIECE_BYTES)).cast("int"))
+        piece = lambda i: F.substring(raw, i * PIECE_BYTES + 1, F.lit(PIECE_BYTES))
+        return F.transform(at, lambda i: F.struct(F.sha2(piece(i), 256).alias("digest"), F.octet_length(piece(i)).alias("n")))
+
     parts = F.split(text, r"(?<=\n\n)(?=[^\n])")
-    return F.transform(parts, lambda s: F.transform(F.split(s, r"(?<=\n)"), lambda p: F.sha2(p, 256)))
+    return F.transform(parts, lambda s: F.transform(F.split(s, r"(?<=\n)"), leaves))
+
 
+def sections(leaves: Column) -> Column:
+    """Of a tree: its sections, each an array of its paragraphs' digests."""
+    return F.transform(leaves, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(F.transform(p, lambda x: x["digest"]), ""), 256)))
 
-def root(text: Column) -> Column:
+
+def root(section_array: Column) -> Column:
     """Digest at the top of the tree."""
-    digests = F.transform(sections(text), lambda s: F.sha2(F.array_join(s, ""), 256))
+    digests = F.transform(section_array, lambda s: F.sha2(F.array_join(s, ""), 256))
     return F.sha2(F.array_join(digests, ""), 256)
 
 
-def codes(text: Column) -> Column:
-    """The piece codes of a text in its order; a repeated piece comes as often as the text has it."""
+def sketch(leaves: Column) -> Column:
+    """Of a tree: codes of distinct leaves in ascending order with their numbers, ``SKETCH`` at most, and whether that is all."""
+    codes = F.transform(F.flatten(F.flatten(leaves)), lambda x: F.shiftleft(F.xxhash64(x["digest"]).bitwiseAND(F.lit(0xFFFFFFFF)), 8).bitwiseOR(x["n"].cast("long")))
 
-    def cut(sentence: Column) -> Column:
-        n = F.octet_length(sentence)
-        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / PIECE_BYTES)).cast("int"))
-        return F.transform(at, lambda i: code(F.substring(sentence.cast("binary"), i * PIECE_BYTES + 1, F.lit(PIECE_BYTES))))
+    def counted(c: Column) -> Column:
+        # where each run of equal codes starts
+        starts = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
+        return _bound(starts, lambda at: numbered(c, at))
 
-    def code(piece: Column) -> Column:
-        return F.shiftleft(F.xxhash64(piece).bitwiseAND(F.lit(0xFFFFFFFF)), 8).bitwiseOR(F.octet_length(piece).cast("long"))
+    def numbered(c: Column, starts: Column) -> Column:
+        entry = lambda at, j: F.struct(F.get(c, at).alias("code"), (F.coalesce(F.get(starts, j + 1), F.size(c)) - at).alias("of"))
+        return F.struct(F.transform(F.slice(starts, 1, SKETCH), entry).alias("leaves"), (F.size(starts) <= SKETCH).alias("whole"))
 
-    return F.flatten(F.transform(F.split(text, r"(?<=\n)|(?<=[.!?;|] )"), cut))
+    return _bound(F.sort_array(codes), counted)
 
 
-def weight(code_array: Column) -> Column:
-    """Bytes that the pieces of a sketch stand for."""
-    return F.aggregate(code_array, F.lit(0).cast("long"), lambda total, c: total + c.bitwiseAND(F.lit(255)))
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def common_weight(a: Column, b: Column) -> Column:
-    """Bytes of the pieces that two sketches share, each as often as both have it."""
-    # sorted, a code's occurrences in ``a`` come right before those in ``b``, which use them up
-    both = F.sort_array(F.concat(F.transform(a, lambda c: F.shiftleft(c, 1)), F.transform(b, lambda c: F.shiftleft(c, 1).bitwiseOR(F.lit(1)))))
-    state = lambda code, free, total: F.struct(code.alias("code"), free.alias("free"), total.alias("total"))
-    zero = F.lit(0).cast("long")
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common leaves of two sketches, by bytes: 1 for equal ones, 0 for none in common; two empty texts are equal."""
+    far, zero = F.lit(1 << 62).cast("long"), F.lit(0).cast("long")
+    end = lambda s: F.when(s["whole"], far).otherwise(F.element_at(s["leaves"], -1)["code"])
+    side = lambda s, n: F.transform(s["leaves"], lambda x: F.struct(x["code"].alias("code"), F.lit(n).alias("side"), x["of"].alias("of")))
+    state = lambda code, of, common, total: F.struct(code.alias("code"), of.alias("of"), common.alias("common"), total.alias("total"))
 
-    def step(s: Column, x: Column) -> Column:
-        code = F.shiftright(x, 1)
-        free = F.when(s["code"] == code, s["free"]).otherwise(zero)
-        first = x.bitwiseAND(F.lit(1)) == 0
-        taken = ~first & (free > 0)
-        return state(code, F.when(first, free + 1).when(taken, free - 1).otherwise(zero), s["total"] + F.when(taken, code.bitwiseAND(F.lit(255))).otherwise(zero))
+    def shared(pair: Column) -> Column:
+        last = pair["last"]
 
-    return F.aggregate(both, state(F.lit(-1).cast("long"), zero, zero), step, lambda s: s["total"])
+        def step(s: Column, x: Column) -> Column:
+            weight = F.when(x["code"] <= last, x["code"].bitwiseAND(F.lit(255))).otherwise(zero)
+            both = F.when((s["code"] == x["code"]) & (x["side"] == 1), F.least(s["of"], x["of"])).otherwise(F.lit(0))
+            return state(x["code"], x["of"], s["common"] + both * weight, s["total"] + x["of"] * weight)
 
+        start = state(F.lit(-1).cast("long"), F.lit(0), zero, zero)
+        return F.aggregate(pair["both"], start, step, lambda s: F.when(s["total"] == 0, F.lit(1.0)).otherwise(2.0 * s["common"] / s["total"]))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of common pieces of two sketches, by bytes: 1 for equal ones (two empty ones included), 0 for none in common."""
-    total = weight(a) + weight(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common_weight(a, b) / total)
+    # by code, a leaf of ``a`` comes right before that of ``b``
+    merged = lambda s: F.struct(F.sort_array(F.concat(side(s["a"], 0), side(s["b"], 1))).alias("both"), F.least(end(s["a"]), end(s["b"])).alias("last"))
+    return _bound(_bound(F.struct(a.alias("a"), b.alias("b")), merged), shared)
 
 
-def fingerprint(root_digest: Column, code_array: Column) -> Column:
-    """The root and the sketch as one string."""
-    return F.concat(root_digest, F.lit(":"), F.array_join(F.transform(code_array, F.hex), "."))
+def fingerprint(root_digest: Column, leaf_sketch: Column) -> Column:
+    """The root and the sketch as one string: hexadecimal codes, with their numbers where these are not 1."""
+    entry = lambda x: F.concat(F.hex(x["code"]), F.when(x["of"] > 1, F.concat(F.lit("x"), x["of"].cast("string"))).otherwise(F.lit("")))
+    rest = F.when(leaf_sketch["whole"], F.lit("")).otherwise(F.lit("+"))
+    return F.concat(root_digest, F.lit(":"), F.array_join(F.transform(leaf_sketch["leaves"], entry), "."), rest)
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
@@ -94,11 +119,12 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, root, sections, codes, fingerprint per row of ``docs``. A null text counts as empty; rows stay as they are."""
+    """doc_id, sections, sketch, root, fingerprint per row of ``docs``. A null text counts as empty; rows stay as they are."""
     docs = pick(docs, doc_id=id_col, text=text_col)
-    text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", root(text).alias("root"), sections(text).alias("sections"), codes(text).alias("codes"))
-    return out.withColumn("fingerprint", fingerprint(F.col("root"), F.col("codes")))
+    out = docs.select("doc_id", tree(F.coalesce("text", F.lit(""))).alias("tree"))
+    out = out.select("doc_id", sections(F.col("tree")).alias("sections"), sketch(F.col("tree")).alias("sketch"))
+    out = out.withColumn("root", root(F.col("sections")))
+    return out.withColumn("fingerprint", fingerprint(F.col("root"), F.col("sketch")))
 
 
 def _next_ids(docs: DataFrame) -> DataFrame:
@@ -136,16 +162,23 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = docs
     if docs.groupBy("key").count().filter("count > 1").limit(1).count():
         heads = docs.groupBy("key").agg(F.min("text").alias("text"))
-    heads = heads.join(after, "key").select(F.col("prev_key").alias("key"), F.expr("substring(text, 1, half)").alias("head"), codes(F.col("text")).alias("next_codes"))
+    heads = heads.withColumn("sketch", sketch(tree(F.col("text")))).join(after, "key")
+    heads = heads.select(F.col("prev_key").alias("key"), F.expr("substring(text, 1, half)").alias("head"), F.col("sketch").alias("next_sketch"))
     both = docs.join(heads, "key")
     both = both.withColumn("doc_id", F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)).cast(kind))
-    n = F.char_length("text")
-    both = both.select("doc_id", "text", n.alias("n_chars"), F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 2), substring(head, 1, int(char_length(text) div 2)))").alias("edited"), "next_codes")
-    both = both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), root(F.col("text")).alias("root"), codes(F.col("text")).alias("codes"), root(F.col("edited")).alias("edited_root"), codes(F.col("edited")).alias("edited_codes"), "next_codes")
+    edited = F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 2), substring(head, 1, int(char_length(text) div 2)))")
+    both = both.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_sketch")
+    sha = F.sha2("edited", 256).alias("edited_sha256")
+    both = both.select("doc_id", "n_chars", sha, tree(F.col("text")).alias("tree"), tree(F.col("edited")).alias("edited_tree"), "next_sketch")
+    top = lambda c: root(sections(F.col(c)))
+    both = both.select(
+        "doc_id", "n_chars", "edited_sha256", "next_sketch", top("tree").alias("root"), top("edited_tree").alias("edited_root"),
+        sketch(F.col("tree")).alias("sketch"), sketch(F.col("edited_tree")).alias("edited_sketch"),
+    )
     return both.select(
         "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("root"), F.col("codes")).alias("fingerprint"),
-        fingerprint(F.col("edited_root"), F.col("edited_codes")).alias("edited_fingerprint"),
-        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
-        likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
+        fingerprint(F.col("root"), F.col("sketch")).alias("fingerprint"),
+        fingerprint(F.col("edited_root"), F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )

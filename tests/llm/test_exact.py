@@ -204,8 +204,8 @@ def test_merkle(spark):
 
 def test_merkle_locates_edits(spark):
     rows = spark.createDataFrame([("a\nb\n\nc\nd\n", "a\nb\n\nc\ne\n")], "x string, y string")
-    tree = lambda c: merkle.sections(F.col(c))
-    found = rows.select(merkle.differing_paragraphs(tree("x"), tree("y")).alias("d"), (merkle.root(F.col("x")) == merkle.root(F.col("y"))).alias("same")).first()
+    tree = lambda c: merkle.sections(merkle.tree(F.col(c)))
+    found = rows.select(merkle.differing_paragraphs(tree("x"), tree("y")).alias("d"), (merkle.root(tree("x")) == merkle.root(tree("y"))).alias("same")).first()
     assert [tuple(d) for d in found["d"]] == [(1, 1)] and not found["same"]
 
 
