@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from linkloom.llm import language, licences, pieces, queries, suffix_tree, tool_calls
+from linkloom.llm import language, pieces, queries, suffix_tree, tool_calls
 
 MODEL = queries.model_path()
 
@@ -182,23 +182,6 @@ def test_violations():
     assert json.loads(tool_calls.canonical({"b": "é\n", "a": [1]})) == {"a": [1], "b": "é\n"}
 
 
-def test_licences(spark):
-    files = spark.createDataFrame(
-        [
-            (1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/x.txt", "nothing"), (3, "p/a/b/y.txt", "This work is licensed under the GNU General Public License, version 3."),
-            (4, "q/z.txt", None), (5, "p/a/b/LICENSE", "Foo\nLicensed under CC BY-NC 4.0.\nbar " + "word " * 5000), (6, "p/a/b/c/d.txt", "license to thrill everyone around here today"), (7, None, ""),
-            (8, "r/t.txt", "filler words here " * 40 + "Licensed under the Apache License, Version 2.0. " + "and more words " * 40),
-        ],
-        "id long, path string, text string",
-    )
-    rows = {r["id"]: (r["licence"], r["origin"], r["licence_path"]) for r in licences.scan(files).collect()}
-    assert rows == {
-        1: ("MIT", "own", "p/LICENSE"), 2: ("MIT", "inherited", "p/LICENSE"), 3: ("GPL-3.0", "own", "p/a/b/y.txt"), 4: (None, "none", None), 5: ("CC-BY-NC-4.0", "own", "p/a/b/LICENSE"),
-        6: ("CC-BY-NC-4.0", "inherited", "p/a/b/LICENSE"), 7: (None, "none", None), 8: ("Apache-2.0", "own", "r/t.txt"),
-    }
-    assert licences.scan(files.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_agrees_with_sql(spark, name):
     folder = "/root/testdata/sf0.001"
