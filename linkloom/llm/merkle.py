@@ -162,9 +162,13 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = docs
     if docs.groupBy("key").count().filter("count > 1").limit(1).count():
         heads = docs.groupBy("key").agg(F.min("text").alias("text"))
-    heads = heads.withColumn("sketch", sketch(tree(F.col("text")))).join(after, "key")
-    heads = heads.select(F.col("prev_key").alias("key"), F.expr("substring(text, 1, half)").alias("head"), F.col("sketch").alias("next_sketch"))
+    heads = heads.join(after, "key").select("prev_key", F.expr("substring(text, 1, half)").alias("head"), sketch(tree(F.col("text"))).alias("sketch"))
+    # the sketch goes through the shuffle as two plain arrays
+    part = lambda field: F.transform("sketch.leaves", lambda x: x[field]).alias(f"next_{field}")
+    heads = heads.select(F.col("prev_key").alias("key"), "head", part("code"), part("of"), F.col("sketch.whole").alias("next_whole"))
     both = docs.join(heads, "key")
+    leaves = F.zip_with("next_code", "next_of", lambda code, of: F.struct(code.alias("code"), of.alias("of")))
+    both = both.withColumn("next_sketch", F.struct(leaves.alias("leaves"), F.col("next_whole").alias("whole")))
     both = both.withColumn("doc_id", F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)).cast(kind))
     edited = F.expr("concat(substring(text, 1, char_length(text) - char_length(text) div 2), substring(head, 1, int(char_length(text) div 2)))")
     both = both.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_sketch")
