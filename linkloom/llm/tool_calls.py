@@ -112,7 +112,10 @@ def levels(dependencies: DataFrame, calls: DataFrame) -> DataFrame:
     dealt = stash(needs.join(groups.withColumnRenamed("node", "call_id"), "call_id"), "dealt")
     large = stash(dealt.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("root"), "large")
     kind = dict(calls.dtypes)["call_id"]
-    found = dealt.join(large, "root", "left_anti").groupBy("root").applyInPandas(_group_levels, f"call_id {kind}, level int")
+    # whole groups in buckets of bounded size: a task of its own for each small group would cost more than its order
+    bucket = F.pmod(F.xxhash64("root"), F.lit(1 + dealt.count() // max(1, GROUP // 4))).alias("bucket")
+    small = dealt.join(large, "root", "left_anti").select(bucket, "call_id", "needs")
+    found = small.groupBy("bucket").applyInPandas(_group_levels, f"call_id {kind}, level int")
     if not large.isEmpty():
         ids = groups.join(large, "root", "left_semi").select(F.col("node").alias("call_id"))
         found = found.unionByName(_wide_levels(stash(ids, "wide"), dealt.join(large, "root", "left_semi").select("call_id", "needs")))
@@ -122,7 +125,7 @@ def levels(dependencies: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def _group_levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Levels of the calls of one group, in topological order; what is left over is on a cycle or waits for one."""
+    """Levels of the calls of whole groups, in topological order; what is left over is on a cycle or waits for one."""
     codes, names = pd.factorize(pd.concat((pdf["call_id"], pdf["needs"]), ignore_index=True))
     one, two = codes[: len(pdf)], codes[len(pdf) :]
     waits = np.bincount(one, minlength=len(names))
