@@ -36,13 +36,15 @@ def keys(named: DataFrame, romanized: bool = True) -> DataFrame:
     if romanized:
         skeleton = F.when(F.col("romanized") != "", C.trigrams(F.col("romanized"))).otherwise(F.array().cast("array<string>"))
         parts.append(of_kind("romanized", skeleton))
-    every = named.select("id", "ordinal", F.inline(F.concat(*parts)))
-    return every.groupBy("id", "ordinal", "kind", "key").agg(F.count("*").alias("tf"))
+    carried = [c for c in ("id", "ordinal", "of") if c in named.columns]
+    every = named.select(*carried, F.inline(F.concat(*parts)))
+    return every.groupBy(*carried, "kind", "key").agg(F.count("*").alias("tf"))
 
 
 def key_frequencies(dest_keys: DataFrame) -> DataFrame:
-    """kind, key, freq: occurrences over all destinations."""
-    return dest_keys.groupBy("kind", "key").agg(F.sum("tf").alias("freq"))
+    """kind, key, freq: occurrences over all destinations; a column ``of`` says how many of them a row stands for."""
+    times = F.col("of") if "of" in dest_keys.columns else F.lit(1)
+    return dest_keys.groupBy("kind", "key").agg(F.sum(F.col("tf") * times).alias("freq"))
 
 
 def hits(source_keys: DataFrame, dest_keys: DataFrame, limit: int | None) -> DataFrame:
@@ -63,6 +65,34 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+FIELDS = ("cleaned", "tokens", "phonetic_key", "romanized")
+
+
+def forms(rows: DataFrame) -> DataFrame:
+    """The distinct names of records: their fields, id and ordinal (that of the first record) and of, the number of records."""
+    found = rows.groupBy(*FIELDS).agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("of"))
+    return found.withColumn("id", F.col("ordinal"))
+
+
+def best(sources: DataFrame, destinations: DataFrame, k: int, limit: int | None, romanized: bool = True) -> tuple[DataFrame, DataFrame]:
+    """source_id, dest_id, dest_ordinal, hits, place: the ``k`` best destinations of every source; and the ids of those sources.
+
+    Keys are joined once for each pair of distinct names. Of a source's best names the first ``k`` by hits,
+    then by first record, hold its best records, of which each name has no more than its first ``k``.
+    """
+    left, right = forms(sources), forms(destinations)
+    names = top_k(hits(keys(left, romanized), keys(right, romanized), limit), k).select(F.col("source_id").alias("source_name"), F.col("dest_id").alias("dest_name"), "hits")
+    named = lambda rows, of, name: rows.join(of.select(*FIELDS, F.col("id").alias(name)), list(FIELDS)).select("id", "ordinal", name)
+    first = Window.partitionBy("dest_name").orderBy("ordinal")
+    heads = named(destinations, right, "dest_name").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= k)
+    heads = heads.select("dest_name", F.col("id").alias("dest_id"), F.col("ordinal").alias("dest_ordinal"))
+    order = Window.partitionBy("source_name").orderBy(F.desc("hits"), "dest_ordinal")
+    found = names.join(heads, "dest_name").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    records = named(sources, left, "source_name").select(F.col("id").alias("source_id"), "source_name")
+    pairs = records.join(found, "source_name").select("source_id", "dest_id", "dest_ordinal", "hits", "place")
+    return pairs, records.join(names.select("source_name").distinct(), "source_name", "left_semi").select("source_id")
+
+
 def prefix_fallback(sources: DataFrame, destinations: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """For sources without a hit: the first ``k`` destinations whose name begins with the same three characters."""
     prefix = F.substring(F.lower("cleaned"), 1, 3)
@@ -83,7 +113,5 @@ def candidates(sources: DataFrame, destinations: DataFrame, n_destinations: int,
         few = destinations.select("id", "ordinal").orderBy("ordinal").limit(k).collect()
         all_of_them = F.array(*(F.struct(F.lit(r["id"]).alias("dest_id"), F.lit(r["ordinal"]).alias("dest_ordinal"), F.lit(0).cast("long").alias("hits"), F.lit(i).alias("place")) for i, r in enumerate(few, 1)))
         return sources.select(F.col("id").alias("source_id"), F.inline(all_of_them))
-    use_romanized = config.metrics.romanized
-    found = hits(keys(sources, use_romanized), keys(destinations, use_romanized), cutoff(n_destinations, config))
-    best = top_k(found, k)
-    return best.unionByName(prefix_fallback(sources, destinations, best, k))
+    found, matched = best(sources, destinations, k, cutoff(n_destinations, config), config.metrics.romanized)
+    return found.unionByName(prefix_fallback(sources, destinations, matched, k))

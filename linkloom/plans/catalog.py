@@ -101,8 +101,7 @@ def blocking_hits(spark, sf_dir):
 def blocking_topk(spark, sf_dir):
     """The 50 best destinations of every source."""
     s, d = part_names(spark, sf_dir)
-    pairs = blocking.hits(blocking.keys(s), blocking.keys(d), blocking.cutoff(d.count()))
-    return blocking.top_k(pairs, 50).select("source_id", "dest_id", "hits", "place")
+    return blocking.best(s, d, 50, blocking.cutoff(d.count()))[0].select("source_id", "dest_id", "hits", "place")
 
 
 @query(f"""WITH {SIDES}, {KEYS.format('s')}, {KEYS.format('d')},

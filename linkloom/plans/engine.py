@@ -42,30 +42,50 @@ def normalized(rows: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
     return named.select(*rows.columns, *(F.col(f"named.{f}").alias(f) for f in fields)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def with_weights(sources: DataFrame, destinations: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """source_id, source_weights and dest_id, dest_weights: the corpus weights of each record's tokens and of its parties' tokens."""
+def with_weights(sources: DataFrame, destinations: DataFrame, left: DataFrame, right: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct names ``left`` and ``right`` with the corpus weights of their tokens and of their parties' tokens."""
     both = sources.select("tokens").unionByName(destinations.select("tokens"))
     weighted = corpus.weights(corpus.frequencies(both), n)
 
-    def of(rows: DataFrame, side: str) -> DataFrame:
-        vocabulary = F.flatten(udfs.party_tokens(F.col("raw_name")))
-        named = rows.select("id", F.array_union("tokens", vocabulary).alias("vocabulary"))
-        return corpus.token_weights(named, weighted).select(F.col("id").alias(f"{side}_id"), F.col("weights").alias(f"{side}_weights"))
+    def of(names: DataFrame, side: str) -> DataFrame:
+        vocabulary = F.flatten(udfs.party_tokens(F.col(f"{side}_name")))
+        named = names.select(F.col(f"{side}_key").alias("id"), F.array_union("tokens", vocabulary).alias("vocabulary"))
+        found = corpus.token_weights(named, weighted).select(F.col("id").alias(f"{side}_key"), F.col("weights").alias(f"{side}_weights"))
+        return names.drop("tokens").join(found, f"{side}_key", "left")
 
-    return of(sources, "source"), of(destinations, "dest")
+    return of(left, "source"), of(right, "dest")
 
 
 def score_candidates(candidates: DataFrame, sources: DataFrame, destinations: DataFrame, n: int, config: MatchConfig) -> DataFrame:
-    """Candidates with all scores; names, dates and weights are joined by id just before the kernel."""
+    """Candidates with all scores, without those below the review threshold where no further field can lift them.
+
+    A pair of names and days is scored once, however many records have it: records take part by a key of
+    their name, its first record's number, and names are joined just before the kernel.
+    """
     attributes = bool(config.mapping.secondary)
-    take = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("raw_name").alias(f"{side}_name"), F.col("transaction_date").alias(f"{side}_date"), *([F.col("attributes").alias(f"{side}_attributes")] if attributes else []))
-    left, right = take(sources, "source"), take(destinations, "dest")
+
+    def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        names = rows.groupBy("raw_name").agg(F.min("ordinal").alias(f"{name}_key"), F.first("tokens").alias("tokens"))
+        of = rows.join(names.select("raw_name", f"{name}_key"), "raw_name")
+        taken = of.select(F.col("id").alias(f"{name}_id"), f"{name}_key", F.col("transaction_date").alias(f"{name}_date"), *([F.col("attributes").alias(f"{name}_attributes")] if attributes else []))
+        return taken, names.withColumnRenamed("raw_name", f"{name}_name")
+
+    (left, left_names), (right, right_names) = side(sources, "source"), side(destinations, "dest")
     if config.metrics.corpus_idf:
-        weights = with_weights(sources, destinations, n)
-        left, right = left.join(weights[0], "source_id", "left"), right.join(weights[1], "dest_id", "left")
+        left_names, right_names = with_weights(sources, destinations, left_names, right_names, n)
+    else:
+        left_names, right_names = left_names.drop("tokens"), right_names.drop("tokens")
     pairs = candidates.select("source_id", "dest_id").join(left, "source_id").join(right, "dest_id")
-    pairs = pairs.withColumn("days", F.datediff("source_date", "dest_date")).drop("source_date", "dest_date")
-    return scoring.blend_secondary(scoring.score_pairs(pairs, config.rules()), config.mapping.secondary)
+    # no pair of dates lies so many days apart; a key that is never null lets the join hash
+    apart = F.coalesce(F.datediff("source_date", "dest_date"), F.lit(1 << 30))
+    pairs = pairs.withColumn("apart", apart).drop("source_date", "dest_date")
+    key = ["source_key", "dest_key", "apart"]
+    asked = pairs.select(*key).distinct().join(left_names, "source_key").join(right_names, "dest_key")
+    asked = asked.withColumn("days", F.when(F.col("apart") != 1 << 30, F.col("apart")))
+    scored = scoring.score_pairs(asked, config.rules())
+    if not attributes:
+        scored = scored.filter(F.col("total_score") >= config.review_threshold)
+    return scoring.blend_secondary(pairs.join(scored, key).drop(*key), config.mapping.secondary)
 
 
 def match_records(sources: DataFrame, destinations: DataFrame, config: MatchConfig = MatchConfig(), batch_id: str = "batch", calibrate=None, aliases: dict[str, str] = ALIASES) -> MatchRun:
