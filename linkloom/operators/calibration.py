@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import time
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,10 +48,22 @@ class Isotonic:
     probs: tuple[float, ...]
 
     def apply(self, score: Column) -> Column:
-        out = F.when(score <= self.scores[0], F.lit(self.probs[0]))
-        for (x0, p0), (x1, p1) in zip(zip(self.scores, self.probs, strict=True), zip(self.scores[1:], self.probs[1:], strict=True), strict=False):
-            out = out.when(score <= x1, F.lit(p0) + (score - x0) * ((p1 - p0) / (x1 - x0)))
-        return out.otherwise(F.lit(self.probs[-1]))
+        """By an array of blocks and a binary search, so that the expression's size does not grow with the blocks."""
+        blocks = F.lit([float(x) for x in self.scores]), F.lit([float(p) for p in self.probs])
+        n = len(self.scores)
+        if n == 1:
+            return F.when(score.isNotNull(), F.lit(self.probs[0]))
+        # the number of blocks below the score
+        halves = F.lit([1 << k for k in range(n.bit_length() - 1, -1, -1)])
+        item = lambda items, i: F.get(items, i)
+        at = F.aggregate(halves, F.lit(0), lambda low, step: F.when((low + step <= n) & (item(blocks[0], low + step - 1) < score), low + step).otherwise(low))
+
+        def value(i: Column) -> Column:
+            x0, x1, p0, p1 = item(blocks[0], i - 1), item(blocks[0], i), item(blocks[1], i - 1), item(blocks[1], i)
+            between = p0 + (score - x0) * ((p1 - p0) / (x1 - x0))
+            return F.when(i == 0, F.lit(self.probs[0])).when(i == n, F.lit(self.probs[-1])).otherwise(between)
+
+        return F.when(score.isNotNull(), F.get(F.transform(F.array(at), value), F.lit(0)))
 
     def to_json(self) -> str:
         return json.dumps({"type": "isotonic", "scores": self.scores, "probs": self.probs})
@@ -105,8 +119,8 @@ def fit_isotonic(score: np.ndarray, matches: np.ndarray, total: np.ndarray) -> I
     return Isotonic(tuple(b[0] for b in blocks), tuple(b[1] / b[2] for b in blocks))
 
 
-def fit(observed: DataFrame, score: str = "score", match: str = "is_match", stuck: bool = False) -> Calibrator:
-    """Platt up to 499 labels, isotonic from 500; an error without labels or with one class only.
+def fit(observed: DataFrame, score: str = "score", match: str = "is_match", stuck: bool = False, isotonic_from: int = ISOTONIC_FROM) -> Calibrator:
+    """Platt up to 499 labels, isotonic from ``isotonic_from`` on; an error without labels or with one class only.
 
     The driver gets one row per distinct score, which rounding to four decimals bounds at 10,001.
     """
@@ -116,7 +130,7 @@ def fit(observed: DataFrame, score: str = "score", match: str = "is_match", stuc
         raise ValueError("no labels to fit")
     if m.sum() in (0, n.sum()):
         raise ValueError("labels of one class only")
-    if n.sum() >= ISOTONIC_FROM:
+    if n.sum() >= isotonic_from:
         return fit_isotonic(s, m, n)
     return fit_platt(np.concatenate((s, s)), np.repeat((1, 0), len(s)), np.concatenate((m, n - m)), stuck)
 
@@ -158,11 +172,34 @@ def fit_and_measure(observed: DataFrame) -> dict:
     return out
 
 
-def activate(models: DataFrame, model_id: int) -> DataFrame:
-    """The model table with one active row."""
-    return models.withColumn("active", F.col("model_id") == model_id)
+MODEL = "model_id string, created_at timestamp, fitted_by string, batch_id string, observations long, positives long, brier double, ece double, model string, active boolean"
+
+
+def save_model(spark: SparkSession, path: str, model: Calibrator, active: bool = True, **details) -> str:
+    """Append a model to the store under ``path``; rows are never changed. An active one takes the place of that before it."""
+    now = datetime.datetime.now(datetime.timezone.utc)
+    row = {"model_id": f"calib-{time.time_ns()}", "created_at": now, "model": model.to_json(), "active": active} | details
+    names = [f.split()[0] for f in MODEL.split(", ")]
+    spark.createDataFrame([tuple(row.get(n) for n in names)], MODEL).coalesce(1).write.mode("append").parquet(path)
+    return row["model_id"]
+
+
+def models(spark: SparkSession, path: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """The store's history, newest first, then by larger identifier; of the models saved as active only the last one is."""
+    return history(spark.read.schema(MODEL).parquet(path)).orderBy(F.desc("created_at"), F.desc("model_id")).offset(max(offset, 0)).limit(limit if limit > 0 else 20)
 
 
-def active(models: DataFrame) -> DataFrame:
-    """The latest active model."""
-    return models.filter("active").orderBy(F.desc("created_at"), F.desc("model_id")).limit(1)
+def history(saved: DataFrame) -> DataFrame:
+    """Saved models, of which the last that was saved as active is the active one."""
+    last = saved.filter("active").agg(F.max(F.struct("created_at", "model_id")).alias("last"))
+    return saved.join(F.broadcast(last)).withColumn("active", F.coalesce(F.struct("created_at", "model_id") == F.col("last"), F.lit(False))).drop("last")  # one row
+
+
+def active(saved: DataFrame) -> DataFrame:
+    """The active model, or no row."""
+    return history(saved).filter("active")
+
+
+def activate(models: DataFrame, model_id: str) -> DataFrame:
+    """The model table with one active row."""
+    return models.withColumn("active", F.col("model_id") == model_id)

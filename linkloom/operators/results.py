@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -117,3 +117,21 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def write_results(results: DataFrame, path: str) -> None:
     """Replace the batches that ``results`` has in a table partitioned by batch; other batches stay."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+#: Jobs on a page unless another number is asked for, and at most.
+JOBS_PAGE, JOBS_MOST = 20, 200
+
+
+def jobs_page(jobs: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
+    """Past runs (batch_id, started_at, …), the latest first, then by larger identifier; numbers out of range are brought into it."""
+    limit = JOBS_PAGE if limit <= 0 else min(limit, JOBS_MOST)
+    return jobs.orderBy(F.desc("started_at"), F.desc("batch_id")).offset(max(offset, 0)).limit(limit)
+
+
+def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """``results`` as they are, and an observation with the counters of the action that next runs over them."""
+    seen = Observation()
+    count = lambda *s: F.count_if(F.col("match_status").isin(*s))
+    counters = (F.count("*").alias("rows"), count("AUTO_MATCHED").alias("auto_matched"), count("REVIEW_NEEDED").alias("review_needed"), count("NO_MATCH").alias("no_match"))
+    return results.observe(seen, *counters), seen

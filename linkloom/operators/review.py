@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import columns as C
+
 ACTIONS = {"CONFIRM": "CONFIRMED", "REJECT": "REJECTED", "UNLINK": "REJECTED"}
 
 
@@ -43,6 +45,21 @@ def audit_page(audit: DataFrame, batch_id: str | None = None, user_id: str | Non
     return audit.orderBy(F.desc("ts"), F.desc("id"))
 
 
+#: The header of the audit file, by column. Fixed values.
+AUDIT_EXPORT = {
+    "id": "Audit Log ID", "batch_id": "Batch ID", "ts": "Timestamp", "user_id": "Reviewer User ID", "action": "Action", "previous_status": "Previous Status",
+    "new_status": "New Status", "confidence_score": "Confidence Score", "review_comments": "Reviewer Comments",
+}
+
+
+def export_audit(audit: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """The rows of the audit file under its header, newest first: times in UTC to the second, four decimals, empty cells for what is missing."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in AUDIT_EXPORT}
+    text["ts"] = F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    text["confidence_score"] = C.fixed(F.coalesce("confidence_score", F.lit(0.0)), 4)
+    return audit_page(audit, batch_id).select(*(text[c].alias(title) for c, title in AUDIT_EXPORT.items()))
+
+
 def labels(audit: DataFrame) -> DataFrame:
     """Audit rows with is_match: confirmed 1, rejected 0, an override by its new status; others are left out."""
     new = F.col("new_status")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ..config import ColumnMapping, MatchConfig, SecondaryField
 from ..functions import columns as C
 from ..functions import udfs
 from ..operators import blocking, calibration, corpus, decision, evaluation, records, results, review, scoring
+from ..sources import connectors
+from ..streaming import incremental
 from . import engine, labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,11 +445,15 @@ def ece(spark, sf_dir):
     return calibration.expected_calibration_error(predictions(spark, sf_dir), F.col("p"), F.col("y"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT round(p, 4) AS s, sum(y)::DOUBLE AS m, count(*)::DOUBLE AS n FROM ({PROBS}) GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY s) AS i FROM s),
+    a AS (SELECT x.i AS j, y.i AS k, sum(z.m) / sum(z.n) AS mean FROM i x JOIN i y ON y.i >= x.i JOIN i z ON z.i BETWEEN x.i AND y.i GROUP BY ALL),
+    l AS (SELECT i.i, a.j, min(a.mean) AS low FROM i JOIN a ON a.j <= i.i AND a.k >= i.i GROUP BY ALL), g AS (SELECT i, max(low) AS g FROM l GROUP BY i),
+    b AS (SELECT max(g) AS prob, max(s) AS x FROM g JOIN i USING (i) GROUP BY round(g, 9)), e AS (SELECT *, lag(x) OVER (ORDER BY x) AS x0, lag(prob) OVER (ORDER BY x) AS p0 FROM b)
+    SELECT doc_id, p, y, CASE WHEN x0 IS NULL THEN prob ELSE p0 + (p - x0) * (prob - p0) / (x - x0) END AS calibrated FROM ({PROBS}) q JOIN e ON q.p <= e.x AND (x0 IS NULL OR q.p > x0)""")
 def isotonic_fit(spark, sf_dir):
     """Calibrated probability of every labelled document under the fitted calibrator."""
     rows = predictions(spark, sf_dir)
-    model = calibration.fit(rows, "p", "y")
+    model = calibration.fit(rows, "p", "y", isotonic_from=1)
     return rows.withColumn("calibrated", model.apply(F.col("p")))
 
 
@@ -502,14 +509,16 @@ def quality_labelled(spark, sf_dir):
     return evaluation.quality(engine.match(left, right).results, truth)
 
 
-@query()
+@query(f"""{BLOCKS}, c AS (SELECT source_id, least(count(*), 50) AS n FROM h GROUP BY source_id), o AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS t FROM c)
+    SELECT max(n) FILTER (i = floor(t * 0.5)) AS median, max(n) FILTER (i = floor(t * 0.95)) AS p95, max(n) AS max FROM o""")
 def candidate_profile(spark, sf_dir):
     """Median, 95th percentile and maximum of the candidates per source."""
     s, d = part_names(spark, sf_dir)
     return evaluation.candidate_profile(blocking.candidates(s, d, d.count()))
 
 
-@query()
+@query(f"""WITH p AS ({PAIRS}), j AS (SELECT a, b, jaro_similarity(a, b) AS jaro, CASE WHEN substr(a, 1, 1) <> substr(b, 1, 1) THEN 0 WHEN substr(a, 1, 2) <> substr(b, 1, 2) THEN 1 WHEN substr(a, 1, 3) <> substr(b, 1, 3) THEN 2 WHEN substr(a, 1, 4) <> substr(b, 1, 4) THEN 3 ELSE 4 END AS same FROM p)
+    SELECT a, b, jaro + same * 0.1::DOUBLE * (1 - jaro) AS similarity FROM j""")
 def jaro_winkler(spark, sf_dir):
     """Jaro-Winkler similarity of the text pairs."""
     return text_pairs(spark, sf_dir).withColumn("similarity", udfs.jaro_winkler(F.col("a"), F.col("b")))
@@ -523,4 +532,40 @@ def romanized_names(spark, sf_dir):
     return left.select("ordinal", "customer_name", udfs.romanize(name).alias("romanized"), udfs.skeleton(udfs.romanize(name)).alias("skeleton"), udfs.phonetic_form(name).alias("phonetic_form"), udfs.split_parties(name).alias("parties"))
 
 
+JOBS = "SELECT CAST(o_custkey AS VARCHAR) AS batch_id, max(o_orderdate) AS started_at, count(*) AS results FROM orders GROUP BY 1"
+
+
+@query(f"SELECT batch_id, results FROM ({JOBS}) ORDER BY started_at DESC, batch_id DESC LIMIT 200 OFFSET 40")
+def jobs_page(spark, sf_dir):
+    """A page of runs, the latest first; customers' orders stand for the results of a run."""
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("batch_id"))
+    runs = runs.agg(F.max("o_orderdate").alias("started_at"), F.count("*").alias("results"))
+    return results.jobs_page(runs, 500, 40).select("batch_id", "results")
+
+
+@query(f"WITH {AUDIT} SELECT CAST(id AS VARCHAR) AS id, batch_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, action, printf('%.4f', score) AS score FROM au WHERE batch_id = 'batch-1'")
+def export_audit(spark, sf_dir):
+    """Rows of the audit file of a batch."""
+    rows = review.export_audit(audit_trail(spark, sf_dir).withColumn("review_comments", F.lit("")), "batch-1")
+    return rows.select(F.col("Audit Log ID").alias("id"), F.col("Batch ID").alias("batch_id"), F.col("Timestamp").alias("ts"), F.col("Action").alias("action"), F.col("Confidence Score").alias("score"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer ORDER BY c_nationkey, c_custkey LIMIT 500 OFFSET 300")
+def ordered_page(spark, sf_dir):
+    """A page of a connector's rows in the order that is asked for."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return connectors.page(rows, connectors.total_order(rows, "c_nationkey, c_custkey"), 500, 300)
+
+
+@query(f"WITH {GREEDY} SELECT source_id, dest_id, total_score AS confidence_score, match_status, decision_note FROM g")
+def settled_stream(spark, sf_dir):
+    """One source per destination over the results of seven micro-batches, each settled by itself before."""
+    config = MatchConfig()
+    rows = decision.decided(decision.ranked(scored_pairs(spark, sf_dir), config), config)
+    part = F.substring("source_id", 5, 20).cast("long") % 7
+    each = [decision.greedy(rows.filter(part == i), config) for i in range(7)]
+    stored_rows = reduce(DataFrame.unionByName, each).withColumnRenamed("total_score", "confidence_score")
+    return incremental.settled(stored_rows, config).select("source_id", "dest_id", "confidence_score", "match_status", "decision_note")
+
+
 flagship = match_parts
