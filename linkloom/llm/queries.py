@@ -15,9 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(_table(spark, sf_dir, "pages"))
     records = warc.read_records(spark, path)
-    return records.select(
-        F.col("record").alias("page_id"), "payload_bytes", F.when(F.col("sha1") == F.col("stated"), F.col("sha1")).alias("payload_digest"), "record_type", "refers_to"
-    )
+    differs = F.lit("a payload does not match the digest in its header")
+    checked = F.assert_true(F.col("sha1") == F.col("stated"), differs).cast("string")
+    return records.select(F.col("record").alias("page_id"), "payload_bytes", F.coalesce(checked, "sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

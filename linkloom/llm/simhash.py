@@ -106,6 +106,21 @@ def in_ring(a: Column, b: Column) -> Column:
     return starts[0] | starts[1] | starts[2] | starts[3]
 
 
+def _passes(differ: np.ndarray) -> np.ndarray:
+    """Whether differences of fingerprints pass the ring, as ``in_ring`` has it, and then the full Hamming check."""
+    segments = np.bitwise_count(differ.view(np.uint16).reshape(-1, 4)).astype(np.int8)
+    # by the principle every pair within the distance has such a start in either direction of the ring, so the bytes' order in memory is no matter
+    ok = np.zeros(len(differ), bool)
+    for start in range(4):
+        chain, passes = np.zeros(len(differ), np.int8), np.ones(len(differ), bool)
+        for length in range(1, 5):
+            chain += segments[:, (start + length - 1) % 4]
+            passes &= chain <= length * DIFFER // 4
+        ok |= passes
+    ok[ok] = np.bitwise_count(differ[ok]) <= DIFFER
+    return ok
+
+
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links between the fingerprints of one or two chunks."""
     fps = np.unique(pdf["fp"].to_numpy())
@@ -117,7 +132,7 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
         while front:
             at = front.pop()
             near = np.flatnonzero(left)
-            near = near[np.bitwise_count((fps[near] ^ fps[at]).view(np.uint64)) <= DIFFER]
+            near = near[_passes((fps[near] ^ fps[at]).view(np.uint64))]
             left[near] = False
             a += [fps[at]] * len(near)
             b += fps[near].tolist()
@@ -128,7 +143,8 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column fp that connect whatever is connected."""
     keyed = fps.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join has no aggregate in its stage and Spark can split a frequent key; so below
+    shared = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     crowded = stash(keyed.join(shared, "key"), "crowded")
     few = crowded.filter(F.col("n") <= FEW).select("key", "fp")
     a, b = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
@@ -177,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(fps.select("fp")))
     rooted = stash(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "root"), "rooted")
     linked, alone = rooted.filter("root IS NOT NULL"), rooted.filter("root IS NULL")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stash(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     found = linked.join(least, "root").select("fp", "component_id").unionByName(alone.select("fp", F.col("least").alias("component_id")))
     return rows.join(stash(found, "found"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

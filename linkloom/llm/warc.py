@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, shared_root
+from .common import pick, shared_root, stash
 
 REVISIT_BYTES = 1000
 CRLF = "\r\n"
@@ -55,7 +55,8 @@ def write_archive(pages: DataFrame, path: str | None = None, revisit_bytes: int
     rows = pages.select("page_id", "url", payload)
     digests = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
     # one row for each content and map task goes through the shuffle, however often the content occurs
-    first = digests.groupBy("digest").agg(F.max("page_id").alias("holder"))
+    # and is written, so that the join has no aggregate in its stage and Spark can split a frequent digest
+    first = stash(digests.groupBy("digest").agg(F.max("page_id").alias("holder")), "holders")
     joined = digests.join(first, "digest")
     revisit = (F.col("size") >= revisit_bytes) & F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
