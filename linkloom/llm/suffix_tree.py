@@ -1,15 +1,18 @@
 """Language-model scores from a probabilistic suffix tree.
 
 Symbols are the bytes of a text's lower-cased words, joined by single spaces and closed by an end. A
-context is the last ``DEPTH`` symbols or fewer. A context is a state of the tree if a position has it with
-probability ``P_MIN`` or more and its next-symbol distribution diverges from that of its own suffix by
-enough nats to pay for its parameters; the suffixes of a state are states too. Distributions are smoothed
+context is the last ``DEPTH`` symbols or fewer. A context is a state of the tree if ``STATE_FROM`` positions
+or more have it and its next-symbol distribution diverges from that of its own suffix by enough nats to pay
+for its parameters; the suffixes of a state are states too, as are all single symbols. Distributions are smoothed
 by Witten-Bell interpolation down to the root, which gives every byte some mass. A position is scored from
 the longest suffix that is a state.
 
-All training texts are counted. The thresholds are shares of all positions, so the states of each depth
-are at most 1 / P_MIN and their transitions at most 1 / P_JOINT: that is the proven bound of what the
-driver collects and broadcasts. The unigram base shares the words in two: those with a share of
+All training texts are counted, and the thresholds are numbers of positions, so states and transitions grow
+with the corpus. They are dealt to blocks by the last two symbols of the context, which a context of two or
+more symbols shares with all its suffixes but one: a block of at most ``BLOCK`` transitions (or one pair of
+symbols) is a tree by itself, and the driver collects and broadcasts one after the other. Each scores the
+positions after its own symbols, in a pass over the texts; a corpus whose tree fits in a block needs one.
+The unigram base shares the words in two: those with a share of
 ``P_WORD`` or more, at most 1 / P_WORD, are broadcast; all others go through a join.
 """
 
@@ -24,15 +27,17 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucket_of_id, pick, resident, slices, small_batches, stash
+from .common import LOWER, bucket_of_id, pick, resident, sized_parts, slices, small_batches, stash
 from .hashing import IntTable
 
 DEPTH = 5
-P_MIN = 1e-6
-P_JOINT = 1e-7
+#: Positions that a context needs to be a state, and that a transition needs to have a probability of its own.
+STATE_FROM, MOVE_FROM = 16, 3
+#: Transitions of a block.
+BLOCK = 3_000_000
 P_WORD = 1e-6
 #: Nats that a state must gain for each of its next symbols.
 GAIN = 2.0
@@ -120,6 +125,7 @@ class Tree:
             prob.append(p)
             free.append(rest)
             above, above_p = grams, p
+        kept[0][:] = True
         for d in range(DEPTH, 1, -1):  # suffixes of states are states
             suffix = states[d][0][kept[d - 1]] & ((1 << (8 * (d - 1))) - 1)
             kept[d - 2][np.searchsorted(states[d - 1][0], suffix)] = True
@@ -151,35 +157,88 @@ class Tree:
         return out
 
 
-def _tree(grams: DataFrame, total: int) -> Tree:
-    """The tree of windows and their counts (gram, n); the driver gets what is frequent."""
-    masks = F.array(*(F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("g")) for d in range(DEPTH + 1)))
-    moves = grams.select(F.inline(masks), "n").groupBy("d", "g").agg(F.sum("n").alias("n"))
-    moves = stash(moves, "moves")
-    states = moves.groupBy("d", F.shiftrightunsigned("g", 8).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-    states = states.filter(F.col("n") >= max(1, math.ceil(P_MIN * total))).toArrow().to_pandas().sort_values("g")
-    moves = moves.filter(F.col("n") >= max(1, math.ceil(P_JOINT * total))).toArrow().to_pandas().sort_values("g")
-    by_state = [tuple(x[c].to_numpy() for c in ("g", "n", "k")) for x in (states[states["d"] == d] for d in range(DEPTH + 1))]
-    by_move = []
-    for d in range(DEPTH + 1):
-        x = moves[moves["d"] == d]
-        x = x[np.isin(x["g"].to_numpy() >> 8, by_state[d][0])] if d else x
-        by_move.append((x["g"].to_numpy(), x["n"].to_numpy()))
-    return Tree(by_move, by_state)
+def _last_two(gram: Column) -> Column:
+    """The last two symbols of the context that a window ends in."""
+    return F.shiftrightunsigned(gram, 8).bitwiseAND(F.lit(0xFFFF))
+
+
+class Blocks:
+    """The frequent transitions and contexts of a corpus, dealt to blocks that each make a tree."""
+
+    def __init__(self, grams: DataFrame):
+        """grams: windows and their counts (gram, n)."""
+        masks = F.array(*(F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("g")) for d in range(DEPTH + 1)))
+        moves = stash(grams.select(F.inline(masks), "n").groupBy("d", "g").agg(F.sum("n").alias("n")), "moves")
+        states = moves.groupBy("d", F.shiftrightunsigned("g", 8).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+        self.states = stash(states.filter((F.col("n") >= STATE_FROM) | (F.col("d") < 2)), "states")
+        self.moves = stash(moves.filter((F.col("n") >= MOVE_FROM) | (F.col("d") < 2)), "frequent")
+        sizes = np.zeros(1 << 16, np.int64)
+        for r in self.moves.filter("d > 1").groupBy(_last_two(F.col("g")).alias("two")).agg(F.count("*").alias("n")).collect():
+            sizes[r["two"]] = r["n"]
+        #: block of each pair of symbols, in their order
+        self.of = np.zeros(1 << 16, np.int32)
+        for block, (a, b) in enumerate(slices(sizes.tolist(), BLOCK)):
+            self.of[a:b] = block
+        self.count = int(self.of.max()) + 1
+
+    def tree(self, block: int) -> Tree:
+        """The tree of a block; the driver gets its rows alone."""
+        pairs = np.flatnonzero(self.of == block)
+        low, high = int(pairs[0]), int(pairs[-1])
+        own = lambda two: (F.col("d") < 2) | two.between(low, high)
+        states = self.states.filter(own(F.col("g").bitwiseAND(F.lit(0xFFFF)))).toArrow()
+        moves = self.moves.filter(own(_last_two(F.col("g")))).toArrow()
+
+        def by_depth(rows: pa.Table, *names: str) -> list[tuple]:
+            depth, columns = rows["d"].to_numpy(), [rows[c].to_numpy() for c in names]
+            at = [np.flatnonzero(depth == d) for d in range(DEPTH + 1)]
+            at = [x[np.argsort(columns[0][x])] for x in at]
+            return [tuple(c[x] for c in columns) for x in at]
+
+        by_state, by_move = by_depth(states, "g", "n", "k"), by_depth(moves, "g", "n")
+        for d in range(1, DEPTH + 1):
+            g, n = by_move[d]
+            use = np.isin(g >> 8, by_state[d][0])
+            by_move[d] = g[use], n[use]
+        return Tree(by_move, by_state)
+
+
+def _summed(tree: Tree, own: np.ndarray | None, window: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The score of each text over the positions that are the tree's own, all if ``own`` is None."""
+    if own is None:
+        score = tree.score(window)
+    else:
+        at = np.flatnonzero(own[(window >> 8) & 0xFFFF])
+        score = np.zeros(len(window))
+        score[at] = tree.score(window[at])
+    return np.add.reduceat(score, np.concatenate(([0], np.cumsum(length)[:-1])))
+
+
+def _further(model):
+    """row, score of texts by a further block."""
+    tag = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, own = resident(("suffix tree", tag), lambda: (model.value[0].freeze(), model.value[1]))
+        for part, texts in sized_parts(batches, 0, _SLICE):
+            window, length, _ = _windows(texts)
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(_summed(tree, own, window, length))], ["row", "more"])
+
+    return run
 
 
 def _scores(model):
     tag = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = resident(("suffix tree", tag), lambda: (model.value[0].freeze(), model.value[1].get))
+        tree, known, own = resident(("suffix tree", tag), lambda: (model.value[0].freeze(), model.value[1].get, model.value[2]))
         for batch in batches:
             column = batch.column(0)
             sizes = [x or 0 for x in pc.binary_length(column).to_pylist()]
             for a, b in slices(sizes, _SLICE):
                 texts = [t or b"" for t in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
                 window, length, split = _windows(texts)
-                score = np.add.reduceat(tree.score(window), np.concatenate(([0], np.cumsum(length)[:-1])))
+                score = _summed(tree, own, window, length)
                 flat = list(chain.from_iterable(w + [END] for w in split))
                 counts = np.array([len(w) + 1 for w in split])
                 first = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -190,7 +249,7 @@ def _scores(model):
                 bounds = np.concatenate(([0], np.cumsum(np.add.reduceat(rare.astype(np.int64), first)))).astype(np.int32)
                 words = pa.ListArray.from_arrays(pa.array(bounds), pa.array([flat[i] for i in at], pa.binary()))
                 known_n = counts - np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (1, 2)), pa.array(counts, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base), pa.array(score), words], ["doc_id", "held_out", "n_tokens", "common", "common_base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (1, 2, 3)), pa.array(counts, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base), pa.array(score), words], ["doc_id", "held_out", "row", "n_tokens", "common", "common_base", "score", "rare"])
 
     return run
 
@@ -212,16 +271,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = totals["n"], totals["v"]
     grams = tallies.filter("gram IS NOT NULL").select("gram", "n")
-    positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    tree = _tree(grams, positions)
+    blocks = Blocks(grams)
+    tree = blocks.tree(0)
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    if blocks.count > 1:  # the passes that follow must find the same rows
+        docs = stash(docs, "texts")
     scale = math.log10(n_train + 0.1 * (vocabulary + 1))
     common = words.filter(F.col("n") >= max(1, math.ceil(P_WORD * n_train))).toArrow()
     logs = np.log10(common["n"].to_numpy() + 0.1) - scale
     known = dict(zip((bytes(w) for w in common["word"].to_pylist()), logs.tolist(), strict=True))
-    model = docs.sparkSession.sparkContext.broadcast((tree, known))
+    own = [blocks.of == b if blocks.count > 1 else None for b in range(blocks.count)]
+    model = docs.sparkSession.sparkContext.broadcast((tree, known, own[0]))
     kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.mapInArrow(_scores(model), f"doc_id {kind}, held_out boolean, n_tokens long, common long, common_base double, score double, rare array<binary>")
-    scored = stash(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = stash(docs.mapInArrow(_scores(model), f"doc_id {kind}, held_out boolean, row long, n_tokens long, common long, common_base double, score double, rare array<binary>"), "scored")
+    for b in range(1, blocks.count):
+        more = docs.sparkSession.sparkContext.broadcast((blocks.tree(b), own[b]))
+        further = stash(docs.select("text", "row").mapInArrow(_further(more), "row long, more double"), "further")
+        scored = stash(scored.join(further, "row").withColumn("score", F.col("score") + F.col("more")).drop("more"), "scored")
     rare = scored.select("row", F.explode("rare").alias("word"))
     less = words.filter(F.col("n") < max(1, math.ceil(P_WORD * n_train)))
     logged = F.log10(F.coalesce("n", F.lit(0)) + 0.1) - F.lit(scale)
