@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -62,16 +63,37 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     ids made on the way, and the optimiser sees their true size when it decides on a broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/linkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH[-1] if _SCRATCH else own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the scratch blocks that are open.
+_SCRATCH: list[str] = []
+
+
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/linkloom/{spark.sparkContext.applicationId}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block at whose end everything that was stashed in it is deleted; what is made of that must be written before."""
+    _SCRATCH.append(f"{own_folder(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, _SCRATCH.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every table that ``stash`` wrote for this application; results not yet written are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/linkloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, own_folder(spark))
 
 
 #: Bytes and rows of the Arrow batches in which texts go to Python, where the session leaves Spark's defaults.

@@ -3,7 +3,9 @@
 import hashlib
 import json
 import math
+import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -13,7 +15,9 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from linkloom.llm import language, pieces, queries, suffix_tree, tool_calls
+from linkloom.llm import common, language, mixing, pieces, queries, suffix_tree, tool_calls
+from linkloom.llm.common import stash
+from test_simhash_sets import survivors
 
 MODEL = queries.model_path()
 
@@ -198,28 +202,54 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_pipeline(spark, library):
-    """Each stage over what the one before it has kept, against plain code."""
+    """Each stage over what the one before it has kept, against plain code; then the whole run, which must agree and leave one table."""
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.collect()
-        docs = corpus_pipeline.stash(stage(spark, docs, folder), name)
-        after = docs.collect()
-        assert docs.columns == names
-        ids = [r["doc_id"] for r in before]
-        left = Counter(r["doc_id"] for r in after)
-        if name == "language":
-            assert len(after) >= 0.98 * len(before)
-        if name == "exact_dedup":
-            first = {}
-            for r in sorted(before, key=lambda r: r["doc_id"]):
-                first.setdefault(" ".join(r["text"].split()), r["doc_id"])
-            assert set(left) <= set(ids) and set(left) == {i for i in first.values()} or len(left) >= len(first)
-        if name == "near_dedup":
-            assert set(left) <= set(ids) and max(left.values()) == 1
-        if name == "mixing":
-            assert max(left.values()) <= 2
+    extra = [(900_001, None, "en", "s", 0), (900_002, "12 34 !", None, "s", 0), (900_003, docs.first()["text"] + " ", None, "s", 0)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    names, stages = docs.columns, dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        kept = stash(stages[name](spark, docs, folder), name)
+        assert kept.columns == names
+        return kept, Counter(r["doc_id"] for r in kept.collect()), {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    docs, left, before = after("language")
+    labelled = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if any(c.isalpha() for c in r["text"])}
+    assert not {900_001, 900_002} & set(left) and len(labelled & set(left)) >= 0.98 * len(labelled) and max(left.values()) == 1
+    docs, left, before = after("exact_dedup")
+    first = {}
+    for i in sorted(before):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", before[i]), i)
+    assert left == Counter(first.values())
+    docs, left, before = after("near_dedup")
+    ids = sorted(before)
+    assert left == Counter(ids[k] for k in survivors([before[i] for i in ids]))
+    rows = docs.collect()
+    mixed = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix_sources(docs).collect()}
+    docs, left, before = after("mixing")
+    assert left == Counter({i: taken // size for i, (size, taken) in mixed.items() if taken}) and len(mixed) == len(rows)
+    size, total = {r["doc_id"]: len((r["text"] or "").split()) for r in rows}, Counter()
+    for r in rows:
+        total[r["source"]] += size[r["doc_id"]]
+    order = sorted(total)
+    wanted = mixing.water_fill([total[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2)
+    source = {r["doc_id"]: r["source"] for r in rows}
+    for s, target in zip(order, wanted, strict=True):
+        base, sums = int(target // total[s]), 1  # bit k: some documents have k words together
+        for i in size:
+            sums |= sums << size[i] if source[i] == s else 0
+        best = max(k for k in range(round(target) - base * total[s] + 1) if sums >> k & 1)
+        assert sum(size[i] * n for i, n in left.items() if source[i] == s) == base * total[s] + best
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
-    assert len(out) == docs.count() and all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]])) for r in out)
+    out = stages["sentencepiece"](spark, docs, folder).collect()
+    assert Counter(r["doc_id"] for r in out) == left and all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]])) for r in out)
+
+
+def test_pipeline_leaves_one_table_and_carries_clashing_columns(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs.selectExpr("*", "1 AS _lang", "'x' AS `Size`", "2 AS root").write.parquet(str(tmp_path / "documents.parquet"))
+    root = common.own_folder(spark).removeprefix("file:").replace("//", "/")
+    there = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert [x.split("-")[1] for x in set(os.listdir(root)) - there] == ["mixing"]
