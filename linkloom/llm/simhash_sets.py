@@ -20,6 +20,7 @@ are not all connected, they are not paired either: chunks of them return spannin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from .simhash import SEED, components
 
 SHINGLE = 5
 #: Sets of a key up to which those of different components are paired; sets and shingles of a chunk beyond that.
-FEW, CHUNK, CHUNK_SHINGLES = 64, 1024, 1 << 17
+FEW, CHUNK, CHUNK_SHINGLES = 512, 1024, 1 << 17
 #: Consecutive segments of 64 bits that the ring looks at before the full check.
 CHAIN = 4
 #: Frequent shingles: SEEN or more of a sample of one text in SAMPLE, the first FREQUENT by count.
@@ -188,19 +189,24 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
 def _forests(docs: DataFrame, sets: DataFrame, crowded: DataFrame) -> DataFrame:
     """Links (a, b) that connect whatever is linked among nodes that share a crowded key.
 
-    Nodes that crowded keys connect are a cluster. It is dealt to chunks of bounded size; each pair of
-    chunks returns a spanning forest of its links, so no pairs are written, however large the cluster is.
+    Nodes that crowded keys connect are a cluster. Linked sets differ in size by a quarter at most, so each
+    node is compared in its own class of sizes and in the next, which is dealt to chunks of bounded size;
+    each pair of chunks returns a spanning forest of its links, so no pairs are written, however large the
+    cluster is.
     """
     first = stash(crowded.groupBy("key").agg(F.min("node").alias("a")), "first")
     edges = crowded.join(first, "key").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     clusters = stash(components(stash(edges, "crowded")), "clusters").join(sets.select("node", "n"), "node")
+    size = F.floor(F.log(F.col("n")) / math.log(1.25) + 1e-9)
+    clusters = stash(clusters.select("root", "node", "n", F.explode(F.array(size, size + 1)).alias("size")), "classes")
     chunks = F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks")
-    sizes = stash(clusters.groupBy("root").agg(chunks), "chunks")
-    dealt = clusters.join(_judged(docs, sets, clusters.select("node")), "node").join(sizes, "root")
+    sizes = stash(clusters.groupBy("root", "size").agg(chunks, F.count("*").alias("of")).filter("of > 1").drop("of"), "chunks")
+    asked = clusters.join(sizes, ["root", "size"])
+    dealt = asked.join(_judged(docs, sets, clusters.select("node").distinct()), "node")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
-    return stash(dealt.groupBy("root", "i", "j").applyInPandas(_forest, "a long, b long").distinct(), "forests")
+    dealt = dealt.select("root", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    return stash(dealt.groupBy("root", "size", "i", "j").applyInPandas(_forest, "a long, b long").distinct(), "forests")
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
