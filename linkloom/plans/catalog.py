@@ -448,7 +448,8 @@ def ece(spark, sf_dir):
 @query(f"""WITH s AS (SELECT round(p, 4) AS s, sum(y)::DOUBLE AS m, count(*)::DOUBLE AS n FROM ({PROBS}) GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY s) AS i FROM s),
     a AS (SELECT x.i AS j, y.i AS k, sum(z.m) / sum(z.n) AS mean FROM i x JOIN i y ON y.i >= x.i JOIN i z ON z.i BETWEEN x.i AND y.i GROUP BY ALL),
     l AS (SELECT i.i, a.j, min(a.mean) AS low FROM i JOIN a ON a.j <= i.i AND a.k >= i.i GROUP BY ALL), g AS (SELECT i, max(low) AS g FROM l GROUP BY i),
-    b AS (SELECT max(g) AS prob, max(s) AS x FROM g JOIN i USING (i) GROUP BY round(g, 9)), e AS (SELECT *, lag(x) OVER (ORDER BY x) AS x0, lag(prob) OVER (ORDER BY x) AS p0 FROM b)
+    v AS (SELECT i, g, min(i) OVER (PARTITION BY round(g, 9)) AS first FROM g),
+    b AS (SELECT g AS prob, s AS x FROM v JOIN i USING (i) JOIN a ON a.j = v.first AND a.k = v.i WHERE abs(a.mean - g) <= 1e-9), e AS (SELECT *, lag(x) OVER (ORDER BY x) AS x0, lag(prob) OVER (ORDER BY x) AS p0 FROM b)
     SELECT doc_id, p, y, CASE WHEN x0 IS NULL THEN prob ELSE p0 + (p - x0) * (prob - p0) / (x - x0) END AS calibrated FROM ({PROBS}) q JOIN e ON q.p <= e.x AND (x0 IS NULL OR q.p > x0)""")
 def isotonic_fit(spark, sf_dir):
     """Calibrated probability of every labelled document under the fitted calibrator."""
