@@ -1,15 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads windows of at most ``WINDOW`` bytes: the words between ASCII white space, longer ones
-cut. Its state starts afresh in each window, so equal windows have equal outputs and each distinct one is
-run once per worker and kept in a bounded memo. Every byte position gets log-probabilities of all
-languages from the states of both directions; a document's are the mean over all its positions, made to
-sum to 1. Training is backpropagation through time in numpy, with Adam, on a bounded sample of rows.
+Every byte position of a text, white space too, gets log-probabilities of all languages from the states of
+both directions, which run on across words. A text is cut into cores of ``CORE`` bytes; the network reads
+each with ``MARGIN`` bytes of the text on both sides, so that a state has seen as many bytes at least, or
+the end of the text, before the first position that counts. A document's log-probabilities are the mean
+over all its positions, made to sum to 1. Training is backpropagation through time in numpy, with Adam, on
+stretches of a bounded sample of rows.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,20 +19,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id, pick, place, resident, slices, small_batches
+from .common import bucket_of_id, pick, place, slices, small_batches, vacate
 
-WINDOW = 24
+CORE, MARGIN = 448, 32
 HIDDEN = 16
 #: Labelled rows that training samples, in equal parts by language, and characters it takes of each.
 TRAIN_ROWS, TRAIN_CHARS = 1600, 1500
 MAX_LANGUAGES = 1000
-STEPS, BATCH, RATE = 500, 256, 0.02
+#: Steps of training, stretches in each, their bytes, and the rate of the first step.
+STEPS, BATCH, STRETCH, RATE = 1000, 128, 32, 0.02
 FOLDS, TEST_FOLD = 4, 2
 UNKNOWN = "und"
 
-MEMO_WINDOWS = 100_000
-_SLICE = 1 << 20
-_RUN = 4096
+#: Bytes of texts that are laid end to end, and numbers that a run of windows may hold for each kind of state.
+_SLICE, _NUMBERS = 1 << 20, 1 << 22
 
 
 class Network:
@@ -44,45 +44,49 @@ class Network:
         self.labels, self.hidden = labels, hidden
         self.w = [draw(256, 3 * hidden), draw(256, 3 * hidden), draw(hidden, 3 * hidden), draw(hidden, 3 * hidden), draw(2 * hidden, len(labels)), np.zeros(len(labels), np.float32)]
 
-    def _direction(self, x: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
-        """States of one direction. x: inputs by time, row and gate. keep: gets what the way back needs."""
-        h_n = self.hidden
-        h = np.zeros((x.shape[1], h_n), np.float32)
-        out = np.empty((x.shape[0], x.shape[1], h_n), np.float32)
-        for t in range(x.shape[0]):
-            a = h @ u
-            gates = np.tanh((x[t, :, : 2 * h_n] + a[:, : 2 * h_n]) * 0.5) * 0.5 + 0.5
+    def _direction(self, steps: np.ndarray, inside: np.ndarray, way: int, keep: list | None) -> np.ndarray:
+        """States of one direction. steps: bytes by time and row. keep: gets what the way back needs."""
+        h_n, w, u = self.hidden, self.w[way], self.w[2 + way]
+        h = np.zeros((steps.shape[1], h_n), w.dtype)
+        out = np.empty((*steps.shape, h_n), w.dtype)
+        full = inside.all(axis=1)
+        for t in range(len(steps)):
+            x, a = w[steps[t]], h @ u
+            gates = np.tanh((x[:, : 2 * h_n] + a[:, : 2 * h_n]) * 0.5) * 0.5 + 0.5
             z, r = gates[:, :h_n], gates[:, h_n:]
-            n = np.tanh(x[t, :, 2 * h_n :] + r * a[:, 2 * h_n :])
+            n = np.tanh(x[:, 2 * h_n :] + r * a[:, 2 * h_n :])
             if keep is not None:
                 keep.append((h, z, r, n, a[:, 2 * h_n :]))
             h = n + z * (h - n)
+            if not full[t]:
+                h *= inside[t][:, None]
             out[t] = h
         return out
 
-    def log_probabilities(self, data: np.ndarray) -> np.ndarray:
-        """Of windows of one length, a row each: log-probability of each label at every position (time, row, label)."""
+    def log_probabilities(self, steps: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Log-probability of each label at every position (time, row, label).
+
+        steps: bytes by time and row; inside: which of them belong to the row. A state outside is zero.
+        """
         if not self.labels:
-            return np.zeros((*data.T.shape, 0), np.float32)
-        return self._forward(data.T, None)[0]
+            return np.zeros((*steps.shape, 0), np.float32)
+        return self._forward(steps, inside, None)[0]
 
-    def _forward(self, time_major: np.ndarray, keep: list | None):
-        wf, wb, uf, ub, wo, bo = self.w
-        fwd = self._direction(wf[time_major], uf, None if keep is None else keep[0])
-        bwd = self._direction(wb[time_major[::-1]], ub, None if keep is None else keep[1])[::-1]
+    def _forward(self, steps: np.ndarray, inside: np.ndarray, keep: list | None):
+        fwd = self._direction(steps, inside, 0, None if keep is None else keep[0])
+        bwd = self._direction(steps[::-1], inside[::-1], 1, None if keep is None else keep[1])[::-1]
         states = np.concatenate((fwd, bwd), axis=2)
-        logits = states @ wo + bo
+        logits = states @ self.w[4] + self.w[5]
         logits -= logits.max(axis=2, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True)), states
 
-    def gradients(self, data: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        """Gradients of the mean cross-entropy over all positions, by backpropagation through time."""
-        steps = data.T
+    def gradients(self, steps: np.ndarray, inside: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the mean cross-entropy over all positions inside, by backpropagation through time."""
         keep: list = [[], []]
-        logp, states = self._forward(steps, keep)
+        logp, states = self._forward(steps, inside, keep)
         d = np.exp(logp)
         d[:, np.arange(len(target)), target] -= 1
-        d /= steps.size
+        d *= inside[:, :, None] / inside.sum()
         h_n = self.hidden
         flat = d.reshape(-1, d.shape[2])
         grads = [np.zeros_like(w) for w in self.w]
@@ -90,13 +94,14 @@ class Network:
         grads[5][:] = flat.sum(axis=0)
         dstates = d @ self.w[4].T
         for way in (0, 1):
-            order = steps if way == 0 else steps[::-1]
-            given = dstates[:, :, :h_n] if way == 0 else dstates[::-1, :, h_n:]
+            turn = slice(None, None, 1 if way == 0 else -1)
+            order, within = steps[turn], inside[turn]
+            given = dstates[turn, :, way * h_n : (way + 1) * h_n]
             u = self.w[2 + way]
-            dh = np.zeros((steps.shape[1], h_n), np.float32)
+            dh = np.zeros((steps.shape[1], h_n), u.dtype)
             for t in range(len(order) - 1, -1, -1):
                 h, z, r, n, an = keep[way][t]
-                dh = dh + given[t]
+                dh = (dh + given[t]) * within[t][:, None]
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (h - n) * z * (1 - z)
                 dr = dn * an * r * (1 - r)
@@ -107,111 +112,82 @@ class Network:
         return grads
 
 
-def train(texts: list[bytes], langs: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> Network:
-    """A network fitted to the windows of labelled texts, each language with the same weight."""
+def train(texts: list[bytes], langs: list[str], steps: int = STEPS, batch: int = BATCH, stretch: int = STRETCH, rate: float = RATE, seed: int = 7) -> Network:
+    """A network fitted to stretches of labelled texts, each language with the same weight."""
     labels = sorted(set(langs))
     net = Network(labels, seed=seed)
-    by_length: dict[int, dict[int, list[bytes]]] = {}
-    for text, lang in zip(texts, langs, strict=True):
-        for w in windows(text):
-            by_length.setdefault(len(w), {}).setdefault(labels.index(lang), []).append(w)
-    groups = [(n, {k: np.frombuffer(b"".join(ws), np.uint8).reshape(-1, n) for k, ws in per.items()}) for n, per in sorted(by_length.items())]
-    if len(labels) < 2 or not groups:
+    found = {k: [t for t, lang in zip(texts, langs, strict=True) if lang == k and t] for k in labels}
+    sources = [(i, np.frombuffer(b"".join(found[k]), np.uint8), np.cumsum([len(t) for t in found[k]])) for i, k in enumerate(labels) if found[k]]
+    if len(labels) < 2 or not sources:
         return net
-    weight = np.array([sum(len(x) for x in per.values()) for _, per in groups], float)
     rng = np.random.default_rng(seed)
     first, second = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
+    each = max(1, batch // len(sources))
+    target = np.repeat([i for i, _, _ in sources], each)
     for step in range(1, steps + 1):
-        _, per = groups[rng.choice(len(groups), p=weight / weight.sum())]
-        each = max(1, batch // len(labels))
-        rows = [x[rng.integers(len(x), size=each)] for x in per.values()]
-        target = np.repeat(list(per), each)
+        parts = []
+        for _, flat, ends in sources:
+            at = rng.integers(len(flat), size=each)
+            text = np.searchsorted(ends, at, "right")
+            begin = np.maximum(np.minimum(at, ends[text] - stretch), np.concatenate(([0], ends))[text])
+            places = begin + np.arange(stretch)[:, None]
+            parts.append((flat[np.minimum(places, len(flat) - 1)], places < ends[text]))
+        grads = net.gradients(*(np.concatenate(x, axis=1) for x in zip(*parts, strict=True)), target)
         now = rate * (1 - step / (steps + 1))
-        for w, g, m, v in zip(net.w, net.gradients(np.concatenate(rows), target), first, second, strict=True):
+        for w, g, m, v in zip(net.w, grads, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     return net
 
 
-def windows(text: bytes) -> list[bytes]:
-    """The words of a text; a word beyond ``WINDOW`` bytes is cut."""
-    words = text.split()
-    if words and len(max(words, key=len)) > WINDOW:
-        words = [w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)]
-    return words
-
-
-class Memo:
-    """Summed log-probabilities over the positions of each window seen, and the number of those."""
-
-    def __init__(self, net: Network, limit: int = MEMO_WINDOWS):
-        self.net, self.limit = net, limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.table = np.zeros((0, len(self.net.labels) + 1), np.float32)
-
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """A row of sums for each window."""
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self._reset()
-            new = set(words)
-        if new:
-            order = sorted(new, key=len)
-            rows, at = [], 0
-            lengths = np.array([len(w) for w in order])
-            for n in np.unique(lengths):
-                end = int(np.searchsorted(lengths, n, "right"))
-                for a in range(at, end, _RUN):
-                    part = order[a : min(a + _RUN, end)]
-                    logp = self.net.log_probabilities(np.frombuffer(b"".join(part), np.uint8).reshape(-1, n))
-                    rows.append(np.column_stack((logp.sum(axis=0), np.full(len(part), n, np.float32))))
-                at = end
-            base = len(self.table)
-            self.known.update(zip(order, range(base, base + len(order)), strict=True))
-            self.table = np.concatenate((self.table, *rows))
-        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
-
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """For each text the sums over all its windows."""
-        split = [windows(t) for t in texts]
-        counts = np.array([len(w) for w in split])
-        out = np.zeros((len(texts), self.table.shape[1]))
-        flat = list(chain.from_iterable(split))
-        if flat:
-            full = np.flatnonzero(counts)
-            first = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-            out[full] = np.add.reduceat(self.sums(flat).astype(np.float64), first, axis=0)
-        return out
-
-    def document(self, text: bytes) -> np.ndarray:
-        """The same for one very long text, in parts."""
-        return sum(self.texts([text[a : a + _SLICE]]) for a in range(0, len(text), _SLICE))[0]
+def windows(sizes: list[int]) -> tuple[np.ndarray, ...]:
+    """Windows over texts of these sizes laid end to end: number of the text, start, end, start and end of the core."""
+    sizes = np.asarray(sizes, np.int64)
+    counts = -(-sizes // CORE)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    low = (np.cumsum(sizes) - sizes)[text]
+    high = low + sizes[text]
+    core = low + (np.arange(len(text)) - (np.cumsum(counts) - counts)[text]) * CORE
+    stop = np.minimum(core + CORE, high)
+    return text, np.maximum(core - MARGIN, low), np.minimum(stop + MARGIN, high), core, stop
+
+
+def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
+    """For each text the mean log-probability of each label over all its positions, 0 for an empty one."""
+    sizes = [len(t) for t in texts]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    text, start, end, core, stop = windows(sizes)
+    out = np.zeros((len(texts), len(net.labels)))
+    order = np.argsort(end - start, kind="stable")  # windows of about the same length run together
+    rows = max(1, _NUMBERS // ((CORE + 2 * MARGIN) * max(net.hidden, len(net.labels))))
+    for a in range(0, len(order), rows):
+        run = order[a : a + rows]
+        places = start[run] + np.arange((end - start)[run].max())[:, None]
+        logp = net.log_probabilities(flat[np.minimum(places, len(flat) - 1)], places < end[run])
+        counts = (places >= core[run]) & (places < stop[run])
+        np.add.at(out, text[run], np.einsum("tr,trl->rl", counts.astype(np.float32), logp))
+    return out / np.maximum(sizes, 1)[:, None]
 
 
 def _predict(model, text_at: int, letter_at: int):
-    tag = uuid.uuid4().hex
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = resident(("language", tag), lambda: Memo(model.value))
-        labels = np.array([*memo.net.labels, UNKNOWN], object)
+        vacate()
+        net = model.value
+        labels = np.array([*net.labels, UNKNOWN], object)
         for batch in batches:
             column = batch.column(text_at)
             sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
-            sums = []
+            means = [np.zeros((0, len(net.labels)))]
             for a, b in slices(sizes, _SLICE):
-                texts = [t or b"" for t in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
-                sums.append(memo.texts(texts) if sizes[a] <= 2 * _SLICE else memo.document(texts[0])[None])
-            total = np.concatenate(sums) if sums else np.zeros((0, len(labels)))
-            mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-            share = np.exp(mean - mean.max(axis=1, keepdims=True)) if len(labels) > 1 else np.zeros((len(total), 0))
-            share /= share.sum(axis=1, keepdims=True) if share.shape[1] else 1
-            letter = np.array(batch.column(letter_at).to_pylist(), bool) & (len(labels) > 1)
-            best = np.where(letter, share.argmax(axis=1) if share.shape[1] else 0, len(labels) - 1)
-            score = np.where(letter, share.max(axis=1, initial=0), 0.0)
+                means.append(pooled(net, [t or b"" for t in column.slice(a, b - a).cast(pa.binary()).to_pylist()]))
+            mean = np.concatenate(means)
+            share = np.exp(mean - mean.max(axis=1, keepdims=True, initial=-np.inf))
+            share /= share.sum(axis=1, keepdims=True)
+            letter = np.array(batch.column(letter_at).to_pylist(), bool) & bool(net.labels)
+            best = np.where(letter, share.argmax(axis=1) if net.labels else 0, len(net.labels))
+            # rounded, as sums in single precision depend on the rows beside a text in their last digits
+            score = np.where(letter, share.max(axis=1, initial=0), 0.0).round(4)
             yield pa.RecordBatch.from_arrays([*batch.columns[:letter_at], pa.array(labels[best], pa.string()), pa.array(score)], [*batch.schema.names[:letter_at], "_lang", "_score"])
 
     return run

@@ -118,14 +118,15 @@ def test_suffix_tree_of_odd_tables(spark):
 def test_gradients_by_differences():
     net = language.Network(["a", "b", "c"], hidden=3, seed=1)
     net.w = [w.astype(np.float64) for w in net.w]
-    data = np.frombuffer(b"abcaba", np.uint8).reshape(2, 3)
-    target = np.array([0, 2])
+    data = np.frombuffer(b"abcabacab", np.uint8).reshape(3, 3).T
+    inside = np.array([[True, True, True], [True, True, True], [True, False, True]])
+    target = np.array([0, 2, 1])
 
     def loss():
-        logp = net.log_probabilities(data)
-        return -logp[:, np.arange(2), target].mean()
+        logp = net.log_probabilities(data, inside)
+        return -logp[:, np.arange(3), target][inside].mean()
 
-    grads = net.gradients(data, target)
+    grads = net.gradients(data, inside, target)
     rng = np.random.default_rng(0)
     for w, g in zip(net.w, grads, strict=True):
         places = [tuple(i) for i in np.argwhere(g != 0)]
@@ -139,6 +140,44 @@ def test_gradients_by_differences():
             assert (up - down) / (2 * step) == pytest.approx(g[at], rel=0.03, abs=2e-4)
 
 
+def plain_log_probabilities(net, text):
+    """The network's output at each position of a text, one position after the other, in double precision."""
+    wf, wb, uf, ub, wo, bo = (w.astype(np.float64) for w in net.w)
+    h_n = net.hidden
+
+    def states(data, w, u):
+        h, out = np.zeros(h_n), []
+        for byte in data:
+            x, a = w[byte], h @ u
+            z, r = (1 / (1 + np.exp(-(x[k : k + h_n] + a[k : k + h_n]))) for k in (0, h_n))
+            n = np.tanh(x[2 * h_n :] + r * a[2 * h_n :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    both = np.hstack((states(text, wf, uf), states(text[::-1], wb, ub)[::-1]))
+    logits = both @ wo + bo
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
+def test_pooled_means_against_a_plain_network():
+    """Whole texts of any length: windows join up, and what lies before the margin hardly matters."""
+    rng = random.Random(4)
+    words = {"en": "the of and ring tion".split(), "fr": "le aux ment é ou".split(), "de": "der ung ich sch ü".split()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    net = language.train([text(k, 80).encode() for k in words for _ in range(10)], [k for k in words for _ in range(10)], steps=60)
+    texts = [t.encode() for t in ("", "a", text("en", 3), text("fr", 90), text("de", 400), text("en", 130) + text("fr", 500))]
+    found = language.pooled(net, texts)
+    assert not found[0].any()
+    for t, row in zip(texts[1:], found[1:], strict=True):
+        # a text of one window is exact but for single precision; beyond, a margin stands for all that lies before it
+        assert row == pytest.approx(plain_log_probabilities(net, t).mean(axis=0), rel=1e-3 if len(t) > language.CORE else 1e-5, abs=1e-5)
+    sizes = [0, 1, language.CORE, language.CORE + 1, 5 * language.CORE + 7]
+    of, start, end, core, stop = language.windows(sizes)
+    assert np.bincount(of, stop - core, len(sizes)).tolist() == sizes and (stop[:-1] == core[1:]).all()
+    assert (end - start <= language.CORE + 2 * language.MARGIN).all()
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(10_001, None, "en", "s", 0), (10_002, "123 !!", "en", "s", 0), (10_003, "", None, "s", 0), (10_004, "the " * 200_000, None, None, 0)], docs.schema)
