@@ -32,7 +32,7 @@ FOLDS, TEST_FOLD = 4, 2
 UNKNOWN = "und"
 
 #: Bytes of texts that are laid end to end, and numbers that a run of windows may hold for each kind of state.
-_SLICE, _NUMBERS = 1 << 20, 1 << 22
+_SLICE, _NUMBERS = 1 << 21, 1 << 22
 
 
 class Network:
@@ -45,54 +45,69 @@ class Network:
         self.w = [draw(256, 3 * hidden), draw(256, 3 * hidden), draw(hidden, 3 * hidden), draw(hidden, 3 * hidden), draw(2 * hidden, len(labels)), np.zeros(len(labels), np.float32)]
 
     def _direction(self, steps: np.ndarray, inside: np.ndarray, way: int, keep: list | None) -> np.ndarray:
-        """States of one direction. steps: bytes by time and row. keep: gets what the way back needs."""
+        """States of one direction. steps: bytes by time and row. keep: gets what the way back needs.
+
+        A gate is (1 + tanh(x / 2)) / 2; the halves are in the weights here, and most steps work in place.
+        """
         h_n, w, u = self.hidden, self.w[way], self.w[2 + way]
+        w_gates, w_new = w[:, : 2 * h_n] * 0.5, np.ascontiguousarray(w[:, 2 * h_n :])
+        u_gates, u_new = u[:, : 2 * h_n] * 0.5, u[:, 2 * h_n :] * 0.5
         h = np.zeros((steps.shape[1], h_n), w.dtype)
         out = np.empty((*steps.shape, h_n), w.dtype)
         full = inside.all(axis=1)
+        steps = steps.astype(np.intp)
         for t in range(len(steps)):
-            x, a = w[steps[t]], h @ u
-            gates = np.tanh((x[:, : 2 * h_n] + a[:, : 2 * h_n]) * 0.5) * 0.5 + 0.5
-            z, r = gates[:, :h_n], gates[:, h_n:]
-            n = np.tanh(x[:, 2 * h_n :] + r * a[:, 2 * h_n :])
+            double = w_gates.take(steps[t], axis=0)  # twice the gates z and r
+            double += h @ u_gates
+            np.tanh(double, out=double)
+            double += 1
+            half = h @ u_new
+            n = w_new.take(steps[t], axis=0)
+            n += half * double[:, h_n:]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, a[:, 2 * h_n :]))
-            h = n + z * (h - n)
+                keep.append((h, double[:, :h_n] * 0.5, double[:, h_n:] * 0.5, n, half * 2))
+            h = np.subtract(h, n, out=out[t])
+            h *= double[:, :h_n]
+            h *= 0.5
+            h += n
             if not full[t]:
                 h *= inside[t][:, None]
-            out[t] = h
         return out
 
     def log_probabilities(self, steps: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Log-probability of each label at every position (time, row, label).
+        """Log-probability of each label at every position (label, time, row).
 
         steps: bytes by time and row; inside: which of them belong to the row. A state outside is zero.
         """
         if not self.labels:
-            return np.zeros((*steps.shape, 0), np.float32)
+            return np.zeros((0, *steps.shape), np.float32)
         return self._forward(steps, inside, None)[0]
 
     def _forward(self, steps: np.ndarray, inside: np.ndarray, keep: list | None):
         fwd = self._direction(steps, inside, 0, None if keep is None else keep[0])
         bwd = self._direction(steps[::-1], inside[::-1], 1, None if keep is None else keep[1])[::-1]
-        states = np.concatenate((fwd, bwd), axis=2)
-        logits = states @ self.w[4] + self.w[5]
-        logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True)), states
+        h_n, out = self.hidden, self.w[4].T
+        logits = out[:, :h_n] @ fwd.reshape(-1, h_n).T  # labels first, as sums over a short last axis are slow
+        logits += out[:, h_n:] @ bwd.reshape(-1, h_n).T
+        logits += self.w[5][:, None]
+        logits -= logits.max(axis=0)
+        logits -= np.log(np.exp(logits).sum(axis=0))
+        return logits.reshape(-1, *steps.shape), fwd, bwd
 
     def gradients(self, steps: np.ndarray, inside: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean cross-entropy over all positions inside, by backpropagation through time."""
         keep: list = [[], []]
-        logp, states = self._forward(steps, inside, keep)
+        logp, fwd, bwd = self._forward(steps, inside, keep)
         d = np.exp(logp)
-        d[:, np.arange(len(target)), target] -= 1
-        d *= inside[:, :, None] / inside.sum()
+        d[target, :, np.arange(len(target))] -= 1
+        d *= inside / inside.sum()
         h_n = self.hidden
-        flat = d.reshape(-1, d.shape[2])
+        flat = d.reshape(len(d), -1)
         grads = [np.zeros_like(w) for w in self.w]
-        grads[4][:] = states.reshape(-1, 2 * h_n).T @ flat
-        grads[5][:] = flat.sum(axis=0)
-        dstates = d @ self.w[4].T
+        grads[4][:] = (flat @ np.concatenate((fwd, bwd), axis=2).reshape(-1, 2 * h_n)).T
+        grads[5][:] = flat.sum(axis=1)
+        dstates = (flat.T @ self.w[4].T).reshape(*steps.shape, 2 * h_n)
         for way in (0, 1):
             turn = slice(None, None, 1 if way == 0 else -1)
             order, within = steps[turn], inside[turn]
@@ -166,7 +181,7 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
         places = start[run] + np.arange((end - start)[run].max())[:, None]
         logp = net.log_probabilities(flat[np.minimum(places, len(flat) - 1)], places < end[run])
         counts = (places >= core[run]) & (places < stop[run])
-        np.add.at(out, text[run], np.einsum("tr,trl->rl", counts.astype(np.float32), logp))
+        np.add.at(out, text[run], np.einsum("tr,ltr->rl", counts.astype(np.float32), logp))
     return out / np.maximum(sizes, 1)[:, None]
 
 
