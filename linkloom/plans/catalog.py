@@ -283,6 +283,17 @@ def no_match_rows(spark, sf_dir):
     return unmatched_parts(spark, sf_dir, pairs, decision.ranked(pairs))
 
 
+@query(f"""WITH c AS ({SCORED}), s AS (SELECT 'src-' || p_partkey AS source_id FROM part UNION ALL SELECT 'cust-' || c_custkey FROM customer)
+    SELECT source_id, 'NO_MATCH' AS match_status,
+        CASE WHEN source_id IN (SELECT source_id FROM c) THEN 'All blocking candidates scored below review threshold' ELSE 'No blocking candidates found' END AS decision_note
+    FROM s WHERE source_id NOT IN (SELECT source_id FROM c WHERE total_score >= 0.98)""")
+def no_match_strict(spark, sf_dir):
+    """Parts without a candidate at 0.98 or above, and customers, who have no candidate at all."""
+    ids = [table(spark, sf_dir, name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id")) for name, prefix, key in (("part", "src-", "p_partkey"), ("customer", "cust-", "c_custkey"))]
+    pairs = scored_pairs(spark, sf_dir)
+    return decision.unmatched(ids[0].unionByName(ids[1]), pairs, decision.ranked(pairs, MatchConfig(review_threshold=0.98)))
+
+
 STORED = f"{GREEDY}, {UNMATCHED}, st AS (SELECT source_id, dest_id, total_score AS confidence_score, rank, match_status, decision_note FROM g UNION ALL SELECT source_id, NULL, NULL, 0, match_status, decision_note FROM u)"
 
 
