@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_DATE = datetime.date(2026, 8, 15)
 
@@ -79,27 +82,51 @@ _SYLLABLES = "กา นี โต มู เล พา ซู ดี ฮา โ
 _TAG_LATIN = str.maketrans({"ก": "k", "า": "a", "น": "n", "ี": "i", "โ": "o", "ต": "t", "ม": "m", "ู": "u", "เ": "e", "ล": "l", "พ": "p", "ซ": "s", "ด": "d", "ฮ": "h"})
 
 
-def pairs(count: int, seed: int = 42) -> list[tuple[str, str, bool, str, datetime.date, datetime.date]]:
-    """source, destination, is_match, category and both dates of ``count`` pairs."""
-    rng = random.Random(seed)
+#: Pairs that one run of random numbers makes; the first ones come from the seed itself, each further block from a seed of its own.
+BLOCK = 1 << 16
+
+Labelled = tuple[str, str, bool, str, datetime.date, datetime.date]
+
+
+def block(number: int, count: int, seed: int, size: int) -> Iterator[Labelled]:
+    """The pairs of a block of ``size`` pairs in a corpus of ``count``."""
+    rng = random.Random(seed if number == 0 else f"{seed} {number}")
     tag = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(2))
     made = _categories(rng, tag)
     sides = {kind: [k for k, (m, _) in made.items() if m == kind] for kind in (True, False)}
-    out = []
-    for i in range(count):
+    for i in range(number * size, min(count, (number + 1) * size)):
         kind = i % 5 < 3
         category = sides[kind][i // 5 % len(sides[kind])]
         a, b = made[category][1]()
         day = BASE_DATE - datetime.timedelta(days=rng.randrange(365))
-        out.append((a, b, kind, category, day, day + datetime.timedelta(days=rng.randrange(4))))
-    return out
+        yield a, b, kind, category, day, day + datetime.timedelta(days=rng.randrange(4))
+
+
+def pairs(count: int, seed: int = 42) -> list[Labelled]:
+    """source, destination, is_match, category and both dates of ``count`` pairs."""
+    return [row for number in range(-(-count // BLOCK)) for row in block(number, count, seed, BLOCK)]
 
 
 def inputs(spark: SparkSession, count: int, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Source rows, destination rows and the true pairs (source_id, dest_id, category) of a labelled corpus."""
-    rows = pairs(count, seed)
-    schema = "ordinal long, customer_name string, transaction_date date"
-    left = spark.createDataFrame([(i, a, d) for i, (a, _, _, _, d, _) in enumerate(rows, 1)], schema)
-    right = spark.createDataFrame([(i, b, d) for i, (_, b, _, _, _, d) in enumerate(rows, 1)], schema)
-    true = [(f"src-{i}", f"dest-{i}", c) for i, (_, _, m, c, _, _) in enumerate(rows, 1) if m]
-    return left, right, spark.createDataFrame(true, "source_id string, dest_id string, category string")
+    """Source rows, destination rows and the true pairs (source_id, dest_id, category) of a labelled corpus, made in tasks."""
+    size = BLOCK
+    numbers = -(-count // size)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                rows = block(number, count, seed, size)
+                at = number * size
+                while part := list(itertools.islice(rows, 10_000)):
+                    ordinals = pa.array(range(at + 1, at + 1 + len(part)), pa.int64())
+                    at += len(part)
+                    kinds = (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.date32(), pa.date32())
+                    columns = [pa.array(v, kind) for v, kind in zip(zip(*part, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([ordinals, *columns], ["ordinal", "source", "dest", "is_match", "category", "source_date", "dest_date"])
+
+    schema = "ordinal long, source string, dest string, is_match boolean, category string, source_date date, dest_date date"
+    rows = spark.range(0, numbers, 1, max(1, numbers)).mapInArrow(made, schema)
+    left = rows.select("ordinal", F.col("source").alias("customer_name"), F.col("source_date").alias("transaction_date"))
+    right = rows.select("ordinal", F.col("dest").alias("customer_name"), F.col("dest_date").alias("transaction_date"))
+    ident = lambda side: F.concat(F.lit(f"{side}-"), F.col("ordinal").cast("string"))
+    return left, right, rows.filter("is_match").select(ident("src").alias("source_id"), ident("dest").alias("dest_id"), "category")
