@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm.common import stash
+
 
 def quality(results: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: precision, recall, f1 of automatic matches, top-1 accuracy, rows per source, most links of a side.
 
     truth: source_id, dest_id of true pairs. Sources of truth that have no result count as missed.
     """
-    results = results.select("source_id", "dest_id", "match_status", "rank").persist()  # five counts read it
+    results = stash(results.select("source_id", "dest_id", "match_status", "rank"), "results")  # five counts read it
     auto = results.filter("match_status = 'AUTO_MATCHED'").select("source_id", "dest_id")
     true = truth.select("source_id", "dest_id").distinct()
     right = lambda pairs: pairs.join(true, ["source_id", "dest_id"], "left_semi")
