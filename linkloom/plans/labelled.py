@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..llm.common import stash
+
 BASE_DATE = datetime.date(2026, 8, 15)
 
 _THAI_FIRST = "สมชาย สมศักดิ์ วิชัย ประเสริฐ สุชาติ อารียา กัลยา ศิริพร ณัฐพล ธนากร ภัทรา มานะ จันทร์เพ็ญ พิมพ์ใจ อนันต์ กิตติ".split()
@@ -108,7 +110,7 @@ def pairs(count: int, seed: int = 42) -> list[Labelled]:
 
 
 def inputs(spark: SparkSession, count: int, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Source rows, destination rows and the true pairs (source_id, dest_id, category) of a labelled corpus, made in tasks."""
+    """Source rows, destination rows and the true pairs (source_id, dest_id, category) of a labelled corpus, made in tasks and stashed."""
     size = BLOCK
     numbers = -(-count // size)
 
@@ -125,7 +127,7 @@ def inputs(spark: SparkSession, count: int, seed: int = 42) -> tuple[DataFrame,
                     yield pa.RecordBatch.from_arrays([ordinals, *columns], ["ordinal", "source", "dest", "is_match", "category", "source_date", "dest_date"])
 
     schema = "ordinal long, source string, dest string, is_match boolean, category string, source_date date, dest_date date"
-    rows = spark.range(0, numbers, 1, max(1, numbers)).mapInArrow(made, schema)
+    rows = stash(spark.range(0, numbers, 1, max(1, numbers)).mapInArrow(made, schema), "labelled")
     left = rows.select("ordinal", F.col("source").alias("customer_name"), F.col("source_date").alias("transaction_date"))
     right = rows.select("ordinal", F.col("dest").alias("customer_name"), F.col("dest_date").alias("transaction_date"))
     ident = lambda side: F.concat(F.lit(f"{side}-"), F.col("ordinal").cast("string"))
